@@ -80,7 +80,7 @@ def fit_weights(docs: DataFrame, labels: DataFrame, buckets: int = 4096, at_most
 
 
 def quality_rules(
-    docs: DataFrame, labels: DataFrame, *, buckets: int = 4096, at_most: int = 50_000, threshold: float = -0.25,
+    docs: DataFrame, labels: DataFrame, *, buckets: int = 4096, at_most: int = 50_000, threshold: float = -0.03,
     min_words: int = 20, max_repeat_pct: int = 30,
 ) -> DataFrame:
     """The columns of ``docs`` and those of the rules, ``llr`` and ``kept``.
