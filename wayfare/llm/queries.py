@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, pieces, quality, urls
+from . import decontaminate, lines, near, pieces, quality, secrets, urls
 from .sql import SQL
 from .text import table
 
@@ -30,6 +30,12 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), decontaminate.digest(F.col("items")).alias("items_sha256"), "contaminated")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_removed, text_sha256 (of the cleaned text; null for a null one)."""
+    found = lines.dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, host, path, rule, verdict.  A page's outcome is that of the document of the same number: bad if its
     label says 0."""
@@ -38,6 +44,17 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(pages, outcomes).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
+    return secrets.secret_digests(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept; links from a similarity of 0.85 on."""
+    found = near.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
     return pieces.encode_digests(table(spark, sf_dir, "documents", "doc_id", "text"), pieces.model_bytes(f"{TOKENIZERS}/piece_bpe_32k.model"))
@@ -46,7 +63,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_decontaminate": op2_decontaminate,
+    "op4_line_dedup": op4_line_dedup,
     "op5_url_filters": op5_url_filters,
+    "op6_secret_scans": op6_secret_scans,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_sentencepiece": op10_sentencepiece,
 }
 

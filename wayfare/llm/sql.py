@@ -51,4 +51,30 @@ judged AS (
   FROM p JOIN rep USING (host))
 SELECT page_id, host, path, rule[1] AS rule, coalesce(rule[2], CASE WHEN bad THEN 'block' ELSE 'allow' END) AS verdict FROM judged"""
 
-SQL: dict[str, str] = {"op2_decontaminate": DECONTAMINATE, "op5_url_filters": URL_FILTERS}
+NEAR_DUPLICATES = """
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT rid, doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT rid, doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT rid, doc_id, count(*) AS n FROM s GROUP BY rid, doc_id),
+pairs AS (SELECT a.rid AS a, b.rid AS b, count(*) AS common FROM s a JOIN s b ON a.s = b.s AND a.rid < b.rid WHERE a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL GROUP BY a.rid, b.rid),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a AS rid, a AS other FROM both_ways UNION SELECT reach.rid, b FROM reach JOIN both_ways ON other = a),
+comp AS (SELECT reach.rid, min(doc_id) AS component_id FROM reach JOIN n ON n.rid = reach.other GROUP BY reach.rid)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, coalesce(d.doc_id = coalesce(component_id, d.doc_id), true) AS kept
+FROM d LEFT JOIN n USING (rid) LEFT JOIN comp USING (rid)"""
+
+LINE_DEDUP = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, text FROM documents),
+l AS (SELECT rid, doc_id, source, text, unnest(range(1, len(a) + 1)) AS pos, unnest(a) AS line FROM (SELECT *, string_split(coalesce(text, ''), chr(10)) AS a FROM d)),
+t AS (SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS word FROM l),
+wide AS (SELECT word FROM t WHERE word <> '' GROUP BY word HAVING count(DISTINCT source) >= 10),
+first AS (SELECT word, min({'a': coalesce(doc_id, -9223372036854775808), 'b': pos}) AS first FROM t SEMI JOIN wide USING (word) GROUP BY word),
+m AS (SELECT t.*, first IS NOT NULL AND first <> {'a': coalesce(doc_id, -9223372036854775808), 'b': pos} AS gone FROM t LEFT JOIN first ON first.word = t.word)
+SELECT any_value(doc_id) AS doc_id, count(*) FILTER (word <> '') AS n_lines, count(*) FILTER (gone) AS n_removed,
+  CASE WHEN any_value(text) IS NOT NULL THEN sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) END AS text_sha256
+FROM m GROUP BY rid"""
+
+SQL: dict[str, str] = {"op4_line_dedup": LINE_DEDUP, "op2_decontaminate": DECONTAMINATE, "op5_url_filters": URL_FILTERS, "op9_near_duplicates": NEAR_DUPLICATES}
