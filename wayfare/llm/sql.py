@@ -77,4 +77,11 @@ SELECT any_value(doc_id) AS doc_id, count(*) FILTER (word <> '') AS n_lines, cou
   CASE WHEN any_value(text) IS NOT NULL THEN sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) END AS text_sha256
 FROM m GROUP BY rid"""
 
-SQL: dict[str, str] = {"op4_line_dedup": LINE_DEDUP, "op2_decontaminate": DECONTAMINATE, "op5_url_filters": URL_FILTERS, "op9_near_duplicates": NEAR_DUPLICATES}
+CHAT_FORMATTING = """
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+c AS (SELECT conv_id, list('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) ORDER BY turn, role, text) AS x FROM t GROUP BY conv_id),
+p AS (SELECT DISTINCT x[1:i] AS x FROM (SELECT x, unnest(range(1, len(x))) AS i FROM c)),
+w AS (SELECT x, min(conv_id) AS conv_id, count(*) AS n_copies FROM c GROUP BY x)
+SELECT conv_id, len(x)::BIGINT AS n_turns, n_copies, sha256(array_to_string(x, '')) AS chat_sha256 FROM w ANTI JOIN p USING (x)"""
+
+SQL: dict[str, str] = {"op4_line_dedup": LINE_DEDUP, "op2_decontaminate": DECONTAMINATE, "op5_url_filters": URL_FILTERS, "op8_chat_formatting": CHAT_FORMATTING, "op9_near_duplicates": NEAR_DUPLICATES}

@@ -66,11 +66,21 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: written to the folder that spark.checkpoint.dir names, which all executors share."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which all executors share."""
+    context = spark.sparkContext
+    if not spark.conf.get("spark.checkpoint.dir", None) and context._jsc.sc().getCheckpointDir().isEmpty():
         import tempfile
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wayfare-"))  # no cluster has named a folder: local tests
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="wayfare-"))  # no cluster has named a folder: local tests
+    folder = context._jsc.sc().getCheckpointDir()
+    if folder.isEmpty():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+        folder = context._jsc.sc().getCheckpointDir()
+    return folder.get()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Cuts the lineage by a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
