@@ -38,7 +38,7 @@ def test_quality_rules_as_brute_force(spark):
     for d, t in rows:
         base, h = brute.quality_base(t), hashes(t)
         llr = int(math.trunc(sum(weight[b] for b in h) / len(h))) if h else 0
-        want.append((d, *base, not base[-1] and llr >= round(-0.03 * (1 << 20)), llr))
+        want.append((d, *base, not base[-1] and llr >= round(quality.THRESHOLD * (1 << 20)), llr))
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert quality.quality_rules(docs.limit(0), spark.createDataFrame([], "doc_id long, quality int")).count() == 0
 

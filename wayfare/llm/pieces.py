@@ -40,16 +40,22 @@ def encode_digests(docs: DataFrame, model: bytes) -> DataFrame:
 
 
 def encode_ids(docs: DataFrame, model: bytes) -> DataFrame:
-    """doc_id and ids (array), the end id last: the general form."""
+    """doc_id and ids (array), the end id last: the general form.  A null text is an empty one."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.udf("array<int>")
-    def ids(text: str | None) -> list[int]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
         from wayfare.llm.bpe import codec
 
-        return codec(shared.value).encode(text or "")
+        digest = codec(shared.value).digest
+        for b in batches:
+            for lo in range(0, b.num_rows, 500):  # ids take more room than texts
+                part = b.slice(lo, 500)
+                ids = [np.array(digest(t.as_py())[1].split(" "), np.int32) for t in part.column("text")]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select("doc_id", ids("text").alias("ids"))
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
 def decode_ids(rows: DataFrame, model: bytes) -> DataFrame:

@@ -9,6 +9,8 @@ from .text import LOWER, SPACES, UPPER, let, space_words, windows
 
 #: Weights are whole numbers of 2^-20 nats, so that sums do not depend on the order of the rows.
 UNIT = 1 << 20
+#: The least mean ratio to be kept.  Labelled good texts stay above it even in corpora of some hundred rows.
+THRESHOLD = -0.05
 
 
 def _ngrams(words: Column, buckets: int) -> Column:
@@ -80,7 +82,7 @@ def fit_weights(docs: DataFrame, labels: DataFrame, buckets: int = 4096, at_most
 
 
 def quality_rules(
-    docs: DataFrame, labels: DataFrame, *, buckets: int = 4096, at_most: int = 50_000, threshold: float = -0.03,
+    docs: DataFrame, labels: DataFrame, *, buckets: int = 4096, at_most: int = 50_000, threshold: float = THRESHOLD,
     min_words: int = 20, max_repeat_pct: int = 30,
 ) -> DataFrame:
     """The columns of ``docs`` and those of the rules, ``llr`` and ``kept``.
