@@ -90,4 +90,4 @@ def member(c: Compiler, s: Scope, args: tuple) -> Val | Flow:
     many.frame.reach(s.frame)
     hit = both((*many.cond, mine == values[0]))
     many.frame.link = many.frame.link or [(r, r) for r in s.frame.rid]
-    return Val("bool", F.coalesce(many.frame.aggregate(lambda k: F.max(F.coalesce(k, F.lit(False))), (hit,)), F.lit(False)), x.optional)
+    return Val("bool", F.coalesce(many.frame.aggregate(lambda k: F.max(F.coalesce(k, F.lit(False)) if k is not None else F.lit(True)), (hit,)), F.lit(False)), x.optional)

@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from ..compiler import Bound, Compiler, Scope, bare, rule
-from ..flow import Flow, Val, fresh, settled
+from ..flow import Flow, Order, Val, fresh, settled
 from ..syntax import Named, QueryError
 
 
@@ -149,13 +149,21 @@ def get(c: Compiler, s: Scope, args: tuple) -> Val | Flow:
     if not k.const:
         q.frame.reach(s.frame)
     frame = q.frame.derive(q.frame.df.filter(F.col(q.val.ids[0]) == k.col))
-    return pick(s, Flow(frame, q.val, q.cond))
+    return pick(c, s, Flow(frame, q.val, q.cond))
 
 
-def pick(s: Scope, flow: Flow, orders: list | None = None, *, flip: bool = False) -> Val:
+def pick(c: Compiler, s: Scope, flow: Flow, orders: list | None = None, *, flip: bool = False) -> Val:
     """The first row under each row above, as an optional value of the frame above."""
     flow = settled(flow)
     f = flow.frame
+    if not f.attached and f.rid and f.rid[0] in s.frame.df.columns:  # picked from before, by another order
+        orders, old = orders or f.orders(), f
+        names = [fresh("o") for _ in orders]
+        for n, o in zip(names, orders, strict=True):
+            old.df = old.df.withColumn(n, o.col)
+        old.order = [Order(F.col(n), o.desc, o.nulls_last) for n, o in zip(names, orders, strict=True)]
+        flow = c.fresh_copy(flow, s)
+        f, orders = flow.frame, flow.frame.order
     if not f.link and not f.attached:
         by = [o.sort(flip) for o in (orders or f.orders())]
         df = f.df.orderBy(*by).limit(1)

@@ -96,14 +96,14 @@ def first(c: Compiler, s: Scope, args: tuple, name: str) -> Val:
         return _neighbour(c, q, name, args[1:], s)
     q = settled(q)
     if len(args) == 1:
-        return pick(s, q, flip=(name == "last") != q.val.desc)
+        return pick(c, s, q, flip=(name == "last") != q.val.desc)
     if len(args) != 2:
         raise QueryError(f"{name} takes one key")
     k = c.val(args[1], s.at(q.frame, q.val), "a key")
     if k.optional:
         q = Flow(q.frame.derive(q.frame.df.filter(k.present())), q.val)
     down = (name == "first") != k.desc
-    return pick(s, q, [*[Order(x, down) for x in k.keys()], *q.frame.orders()])
+    return pick(c, s, q, [*[Order(x, down) for x in k.keys()], *q.frame.orders()])
 
 
 def _neighbour(c: Compiler, q: Flow, name: str, keys: tuple, s: Scope) -> Val:

@@ -132,6 +132,6 @@ def expect(c: Compiler, s: Scope, args: tuple, name: str) -> Val | Flow:
     if high:
         from .navigate import pick
 
-        v = pick(s, q)
+        v = pick(c, s, q)
         return v if not low else replace(v, optional=False)
     return q

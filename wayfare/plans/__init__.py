@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables, with SQL of the same meaning."""
 
-from . import queries
+from . import operators, queries
 
-QUERIES = {**queries.QUERIES}
-SQL = {**queries.SQL}
+QUERIES = {**queries.QUERIES, **operators.QUERIES}
+SQL = {**queries.SQL, **operators.SQL}
