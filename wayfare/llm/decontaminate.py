@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import let, plain_words, text_key, windows
+from .text import kept, plain_words, text_key, windows
 
 #: Up to so many item windows are broadcast (about 150 bytes each); more are joined by a shuffle.
 BROADCAST_WINDOWS = 500_000
@@ -92,7 +92,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, width: int = 8, min_item
     ``min_items`` items with occurring windows on.  Null or empty texts have no words; null ids are ids like any
     other; rows of one id and text get equal results; items without an id or words are ignored; without items
     nothing is hit.  Only doc_id and text, item_id and text are read, so other columns cannot clash."""
-    found = find_windows(docs, items, width=width, broadcast_windows=broadcast_windows).distinct()
+    found = kept(find_windows(docs, items, width=width, broadcast_windows=broadcast_windows).distinct())  # read twice
     spans = found.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "len")).alias("spans"))
     owners = _item_windows(items, width)
     ids = found.select("doc_id", "key", "win").distinct().join(owners, "win").groupBy("doc_id", "key").agg(F.collect_set("item_id").alias("items"))
@@ -112,4 +112,4 @@ def digest(items: Column) -> Column:
     return F.sha2(F.array_join(F.sort_array(F.transform(items, lambda x: x.cast("string"))), ","), 256)
 
 
-__all__ = ["decontaminate", "digest", "find_windows", "let"]
+__all__ = ["decontaminate", "digest", "find_windows"]
