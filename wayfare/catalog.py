@@ -46,6 +46,14 @@ class Class:
     arrows: dict[str, Arrow] = field(default_factory=dict)
     _df: DataFrame | None = None
 
+    def kind(self, arrow: Arrow) -> str:
+        """The type of an attribute's values."""
+        if arrow.kind is None:
+            if arrow.column not in self.df.columns:
+                raise QueryError(f"{self.name} has no column {arrow.column}")
+            arrow.kind = kind_of(self.df.schema[arrow.column].dataType)
+        return arrow.kind
+
     @property
     def df(self) -> DataFrame:
         if self._df is None:
@@ -60,14 +68,13 @@ class Catalog:
         self.spark, self.classes = spark, {}
 
     def attach(self, name: str, rows: DataFrame | Callable[[], DataFrame], key: str | tuple[str, ...], *, attributes: dict[str, str] | None = None, select: tuple[str, ...] = (), optional: tuple[str, ...] = (), kinds: dict[str, str] | None = None) -> Class:
-        """attributes: names of columns by the names they get in queries; all columns under their own names if left out."""
+        """attributes: columns by the names they get in queries, else all columns under their own names.
+
+        Rows given as a function are read when a query first needs the class."""
         load = rows if callable(rows) else lambda: rows
         c = self.classes[name] = Class(name, load, (key,) if isinstance(key, str) else tuple(key), tuple(select))
-        types = {f.name: f.dataType for f in c.df.schema.fields}
-        for attr, column in (attributes or {x: x for x in types}).items():
-            if column not in types:
-                raise QueryError(f"{name} has no column {column}")
-            c.arrows[attr] = Arrow(attr, column, (kinds or {}).get(attr) or kind_of(types[column]), optional=attr in optional)
+        for attr, column in (attributes or {x: x for x in c.df.columns}).items():
+            c.arrows[attr] = Arrow(attr, column, (kinds or {}).get(attr), optional=attr in optional)
         return c
 
     def link(self, source: str, name: str, target: str, on: dict[str, str], *, inverse: str | None = None, optional: bool = False) -> None:

@@ -13,6 +13,7 @@ from .flow import Flow, Frame, Order, Val, both, flatten, fresh, scan, settled
 from .functions.scalars import SCALARS, contains, literal
 from .syntax import Call, Compose, Lit, Named, QueryError, Regex
 
+CASTS = {"int": "bigint", "money": "decimal(18,2)", "date": "date"}
 #: name -> rule(compiler, scope, args) for everything that is no scalar function.
 RULES: dict[str, Callable[..., Val | Flow]] = {}
 
@@ -157,9 +158,9 @@ class Compiler:
         return replace(value, frame=scope.frame.memo[key][0])
 
     def identity(self, focus: Val) -> Val:
-        by_column = {a.column: a.kind for a in focus.cls.arrows.values() if a.column}
         if len(focus.ids) == 1:
-            return Val(by_column.get(focus.cls.key[0], "int"), F.col(focus.ids[0]), focus.optional, "id")
+            kind = focus.cls.kind(Arrow("id", focus.cls.key[0]))
+            return Val(kind, F.col(focus.ids[0]).cast(CASTS[kind]) if kind in CASTS else F.col(focus.ids[0]), focus.optional, "id")
         return Val("any", F.struct(*[F.col(i).alias(k) for i, k in zip(focus.ids, focus.cls.key, strict=True)]), focus.optional, "id")
 
     def follow(self, focus: Val, arrow: Arrow, frame: Frame) -> Val | Flow:
@@ -172,14 +173,10 @@ class Compiler:
         if arrow.column:
             ids = dict(zip(focus.cls.key, focus.ids, strict=True))
             name = ids.get(arrow.column) or frame.join_entity(focus)[arrow.column]
-            col = F.col(name)
-            if arrow.kind == "int":
-                col = col.cast("bigint")
-            elif arrow.kind == "money":
-                col = col.cast("decimal(18,2)")
-            elif arrow.kind == "date":
-                col = col.cast("date")
-            return Val(arrow.kind, col, focus.optional or arrow.optional, arrow.name)
+            col, kind = F.col(name), focus.cls.kind(arrow)
+            if kind in CASTS:
+                col = col.cast(CASTS[kind])
+            return Val(kind, col, focus.optional or arrow.optional, arrow.name)
         ids, target = dict(zip(focus.cls.key, focus.ids, strict=True)), self.catalog[arrow.target]
         if any(a not in ids for a, _ in arrow.on):
             ids = {**frame.join_entity(focus), **ids}

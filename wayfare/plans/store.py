@@ -10,7 +10,7 @@ from ..catalog import Catalog
 def store(spark: SparkSession, sf_dir: str) -> Catalog:
     """Classes of the tables under a folder; each is read when a query first names it, and only what is used of it."""
     db = Catalog(spark)
-    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    read = lambda name: lambda: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     plain = lambda prefix, names: {n: f"{prefix}_{n}" for n in names.split()}
     db.attach("region", read("region"), "r_regionkey", attributes=plain("r", "name"))
     db.attach("nation", read("nation"), "n_nationkey", attributes=plain("n", "name"))
@@ -18,8 +18,8 @@ def store(spark: SparkSession, sf_dir: str) -> Catalog:
     db.attach("supplier", read("supplier"), "s_suppkey", attributes=plain("s", "name acctbal"))
     db.attach("part", read("part"), "p_partkey", attributes={**plain("p", "name brand size retailprice"), "type_": "p_type"})
     db.attach("order", read("orders"), "o_orderkey", attributes=plain("o", "orderstatus totalprice orderdate orderpriority"))
-    lines = read("lineitem")
-    db.attach("lineitem", lines, tuple(lines.columns), attributes=plain("l", "linenumber quantity extendedprice discount tax returnflag linestatus shipdate"))
+    lines = ("orderkey", "linenumber", "partkey", "suppkey", "quantity", "extendedprice", "discount", "tax", "returnflag", "linestatus", "shipdate")
+    db.attach("lineitem", read("lineitem"), tuple(f"l_{x}" for x in lines), attributes=plain("l", "linenumber quantity extendedprice discount tax returnflag linestatus shipdate"))
     db.attach("event", read("events"), "event_id", attributes={x: x for x in ("ts", "user_id", "event_type", "value", "props")})
     for source, name, target, column, key, inverse in (
         ("nation", "region", "region", "n_regionkey", "r_regionkey", "nation"),
