@@ -44,6 +44,8 @@ def _rounded(col: Column) -> Column:
 
 def _arith(op: str, a: Val, b: Val) -> Val:
     x, y = a.col, b.col
+    if "null" in (a.kind, b.kind):
+        return Val("null", F.lit(None), optional=True)
     if a.kind == "period" or b.kind == "period":
         return _period(op, a, b)
     if a.kind not in NUMBERS or b.kind not in NUMBERS:

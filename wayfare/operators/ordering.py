@@ -83,6 +83,7 @@ def _cut(f: Frame, k: int, name: str) -> Frame:
     else:
         df = by(forward).offset(k) if k >= 0 else by(back).limit(-k)
     out = f.derive(df)
+    out.explicit = out.explicit or (name == "take") == (k >= 0)  # what a limit gives is small enough to be kept in order
     return out
 
 

@@ -76,6 +76,8 @@ def table(c: Compiler, v: Val | Flow) -> DataFrame:
         frame, val = v.frame, v.val
         if frame.up is not c.root:
             raise QueryError("the query hangs on nothing")
+        if frame.link:
+            frame.attach()  # to the one row that it starts from
     else:
         frame, val = c.root, v
     s = c.top.at(frame, val)
