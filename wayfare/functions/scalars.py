@@ -64,7 +64,7 @@ def _arith(op: str, a: Val, b: Val) -> Val:
             return _result("money", _rounded(x * y), a, b)
         return _result("int" if kinds == {"int"} else "float", x * y, a, b)
     if op == "÷" or kinds == {"int"}:
-        return Val("int", _div(x, y), a.optional or b.optional)
+        return Val("int", F.call_function("div", x, y), a.optional or b.optional)
     if kinds == {"money"}:
         return _result("float", x.cast("double") / y.cast("double"), a, b)
     if a.kind == "money":
@@ -72,11 +72,6 @@ def _arith(op: str, a: Val, b: Val) -> Val:
     return _result("float", x.cast("double") / y.cast("double"), a, b)
 
 
-def _div(x: Column, y: Column) -> Column:
-    """Division of whole numbers that cuts off what follows the point."""
-    return ((x - x % y) / y).cast("bigint")
-
-
 def _period(op: str, a: Val, b: Val) -> Val:
     if op == "*" and {a.kind, b.kind} == {"int", "period"}:
         n, p = (a, b) if a.kind == "int" else (b, a)

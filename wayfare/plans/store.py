@@ -18,7 +18,7 @@ def store(spark: SparkSession, sf_dir: str) -> Catalog:
     db.attach("supplier", read("supplier"), "s_suppkey", attributes=plain("s", "name acctbal"))
     db.attach("part", read("part"), "p_partkey", attributes={**plain("p", "name brand size retailprice"), "type_": "p_type"})
     db.attach("order", read("orders"), "o_orderkey", attributes=plain("o", "orderstatus totalprice orderdate orderpriority"))
-    lines = ("orderkey", "linenumber", "partkey", "suppkey", "quantity", "extendedprice", "discount", "tax", "returnflag", "linestatus", "shipdate")
+    lines = ("orderkey", "partkey", "suppkey", "linenumber", "quantity", "extendedprice", "discount", "tax", "returnflag", "linestatus", "shipdate")
     db.attach("lineitem", read("lineitem"), tuple(f"l_{x}" for x in lines), attributes=plain("l", "linenumber quantity extendedprice discount tax returnflag linestatus shipdate"))
     db.attach("event", read("events"), "event_id", attributes={x: x for x in ("ts", "user_id", "event_type", "value", "props")})
     for source, name, target, column, key, inverse in (
