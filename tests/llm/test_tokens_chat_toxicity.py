@@ -2,6 +2,7 @@ import random
 from hashlib import sha256
 
 import numpy as np
+import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
@@ -78,6 +79,19 @@ def test_token_counts(spark, sf, tmp_path):
     assert tokens.count_tokens(spark.read.parquet(str(tmp_path / "none")), str(tmp_path / "flat2"), ranks, PATTERN, eod=50256).count() == 0
 
 
+def test_names_of_files_with_ids_like_parts(spark, tmp_path, monkeypatch):
+    """A job's random id may hold "-c3"; only the end of a file's name says which part of a task it is."""
+    df = spark.createDataFrame([("file:/x/part-1-2/part-00002-2667b1ce-775d-4184-c3a3-c9d6a478f256-c001.txt", 4, 9, True)], "file string, place long, n_tokens long, closed boolean")
+    marks = spark.createDataFrame([(7, (2 << 33) + 104)], "doc_id long, mark long")
+    monkeypatch.setattr(tokens, "write_flat", lambda *a, **k: marks)
+    monkeypatch.setattr(tokens, "scan_flat", lambda *a, **k: df)
+    docs = spark.createDataFrame([(7, "x")], "doc_id long, text string")
+    assert [tuple(r) for r in tokens.count_tokens(docs, "p", b"", "", eod=1, documents=100).collect()] == [(7, 9)]
+    monkeypatch.setattr(tokens, "write_flat", lambda *a, **k: marks.selectExpr("doc_id", "mark + 1 AS mark"))
+    with pytest.raises(Exception, match="no place"):
+        tokens.count_tokens(docs, "p", b"", "", eod=1, documents=100).collect()
+
+
 def test_chats_as_brute_force(spark):
     rnd, rows = random.Random(3), []
     for c in range(120):

@@ -88,6 +88,8 @@ def count_tokens(docs: DataFrame, path: str, ranks: bytes, pattern: str, *, eod:
     marks = write_flat(docs.select("doc_id", "text"), path, ranks, pattern, eod=eod, dtype=dtype, documents=documents)
     found = scan_flat(docs.sparkSession, path, eod=eod, dtype=dtype, block_bytes=block_bytes)
     task = F.regexp_extract("file", r"part-(\d+)-[^/]*$", 1).cast("bigint")
-    part = F.regexp_extract("file", r"-c(\d+)[^/]*$", 1).cast("bigint")
+    part = F.regexp_extract("file", r"-c(\d+)(?:\.[^/-]*)?$", 1).cast("bigint")  # not a piece of the job's random id
     placed = found.select((F.shiftleft(task, 33) + part * documents + F.col("place")).alias("_mark"), "n_tokens")
-    return marks.join(placed, F.col("mark") == F.col("_mark")).select("doc_id", "n_tokens")
+    lost = F.raise_error(F.concat(F.lit("no place in the token files for row "), F.col("mark").cast("string"))).cast("bigint")
+    joined = marks.join(placed, F.col("mark") == F.col("_mark"), "left")
+    return joined.select("doc_id", F.when(F.col("_mark").isNotNull(), F.col("n_tokens")).otherwise(lost).alias("n_tokens"))
