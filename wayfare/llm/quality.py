@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import LOWER, SPACES, UPPER, let, space_words, windows
+from .text import LOWER, SPACES, UPPER, let, space_words
 
 #: Weights are whole numbers of 2^-20 nats, so that sums do not depend on the order of the rows.
 UNIT = 1 << 20
@@ -13,13 +13,18 @@ UNIT = 1 << 20
 THRESHOLD = -0.05
 
 
+def _joined(hashes: Column, step: int) -> Column:
+    """Hashes of each element with the one ``step`` places on: of runs twice as long, if step is their length."""
+    return let(hashes, lambda h: let(F.greatest(F.size(h) - step, F.lit(0)), lambda n: F.zip_with(F.slice(h, F.lit(1), n), F.slice(h, F.lit(step + 1), n), lambda a, b: F.xxhash64(a, b))))
+
+
 def _ngrams(words: Column, buckets: int) -> Column:
     """Bucket numbers of all lower-cased words and of all pairs of neighbours."""
     return let(
         F.transform(words, lambda w: F.xxhash64(F.translate(w, UPPER, LOWER))),
         lambda h: F.concat(
             F.transform(h, lambda x: F.pmod(x, F.lit(buckets)).cast("int")),
-            F.coalesce(windows(h, 2, lambda s: F.pmod(F.xxhash64(s), F.lit(buckets)).cast("int")), F.array().cast("array<int>")),
+            F.transform(_joined(h, 1), lambda x: F.pmod(x, F.lit(buckets)).cast("int")),
         ),
     )
 
@@ -38,12 +43,12 @@ def _covered(hashes: Column, width: int) -> Column:
 
 
 def repeated_words(words: Column, width: int = 8) -> Column:
-    """Words inside windows of ``width`` words that the text holds twice or more, the first one included."""
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
-    return let(
-        windows(hashed, width, lambda s: F.xxhash64(s)),
-        lambda w: F.when(w.isNull() | (F.size(F.array_distinct(w)) == F.size(w)), F.lit(0)).otherwise(_covered(w, width)),
-    )
+    """Words inside windows of ``width`` (a power of two) words that the text holds twice or more, the first one
+    included."""
+    hashed, step = F.transform(words, lambda w: F.xxhash64(w)), 1
+    while step < width:
+        hashed, step = _joined(hashed, step), 2 * step
+    return let(hashed, lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0)).otherwise(_covered(w, width)))
 
 
 def repeated_lines(text: Column) -> Column:
