@@ -43,3 +43,15 @@ def test_query_as_sql(spark, sf, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(plans.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_closure_below_every_part(spark, sf):
+    got = {r.id: r.n for r in plans.QUERIES["connect_down"](spark, sf).collect()}
+    ids = {r.p_partkey for r in spark.read.parquet(f"{sf}/part.parquet").select("p_partkey").collect()}
+    below = dict.fromkeys(ids, 0)
+    for i in ids:
+        while i > 0:
+            i //= 2
+            if i in below:
+                below[i] += 1
+    assert got == below and sum(n > 0 for n in got.values()) > 1
