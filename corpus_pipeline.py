@@ -19,7 +19,7 @@ from wayfare.llm.text import shared_folder, table, text_key
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what passes the rules; a null or empty text fails them."""
-    judged = quality.quality_rules(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
+    judged = quality.quality_rules(docs, table(spark, sf_dir, "labels", "doc_id", "quality"), threshold=None)
     return judged.filter("kept").select(*docs.columns)
 
 

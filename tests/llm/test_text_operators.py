@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import xxhash
 from pyspark.sql import functions as F
 
-from wayfare.llm import decontaminate, lines, quality, urls
+from wayfare.llm import decontaminate, lines, quality, queries, urls
 
 from . import brute
 
@@ -43,6 +43,19 @@ def test_quality_rules_as_brute_force(spark):
     assert quality.quality_rules(docs.limit(0), spark.createDataFrame([], "doc_id long, quality int")).count() == 0
 
 
+def test_quality_threshold_from_trusted_rows(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = queries.op1_quality_rules(spark, "/root/testdata/sf0.01").collect()
+    good = {r.doc_id for r in labels.filter("quality = 1").collect()}
+    least = min(r.llr for r in got if r.doc_id in good and not r.base_failed)
+    assert least > round(quality.THRESHOLD * quality.UNIT)
+    assert all(r.kept == (not r.base_failed and r.llr >= least) for r in got)
+    assert any(not r.base_failed and round(quality.THRESHOLD * quality.UNIT) <= r.llr < least for r in got)  # kept before
+    few = docs.filter("doc_id < 60").select("doc_id", "text")
+    both = [sorted(map(tuple, quality.quality_rules(few, labels.limit(0), **more).collect()), key=str) for more in ({}, {"threshold": None})]
+    assert both[0] == both[1] and len(both[0]) == few.count()
+
+
 def test_decontaminate_as_brute_force(spark):
     items = [(1, "One two three four five six seven eight nine"), (2, "short item"), (3, None), (4, "..."), (5, "two three four five six seven eight nine ten"), (None, "x y"), (2, "short item")]
     texts = [*ODD, "zero ONE,two three four five six seven eight nine ten eleven", "a short-item and short item", "one two three four five six seven", "short item two three four five six seven eight nine"]

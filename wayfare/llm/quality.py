@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import LOWER, SPACES, UPPER, let, space_words
+from .text import LOWER, SPACES, UPPER, let, shared_folder, space_words
 
 #: Weights are whole numbers of 2^-20 nats, so that sums do not depend on the order of the rows.
 UNIT = 1 << 20
-#: The least mean ratio to be kept.  Labelled good texts stay above it even in corpora of some hundred rows.
+#: The least mean ratio to be kept where none is derived, and the least that is derived.  Labelled good texts stay above
+#: it even in corpora of some hundred rows.
 THRESHOLD = -0.05
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr")
 
 
 def _joined(hashes: Column, step: int) -> Column:
@@ -86,24 +90,13 @@ def fit_weights(docs: DataFrame, labels: DataFrame, buckets: int = 4096, at_most
     return [round(UNIT * (math.log(t / n_target) - math.log(r / n_raw))) for t, r in zip(target, raw, strict=True)]
 
 
-def quality_rules(
-    docs: DataFrame, labels: DataFrame, *, buckets: int = 4096, at_most: int = 50_000, threshold: float = THRESHOLD,
-    min_words: int = 20, max_repeat_pct: int = 30,
-) -> DataFrame:
-    """The columns of ``docs`` and those of the rules, ``llr`` and ``kept``.
-
-    ``llr`` is the mean over a text's word unigrams and bigrams of the log-likelihood ratio between trusted text and
-    the raw corpus, in units of 2^-20; a row is kept if it passes the plain rules and ``llr`` is at least ``threshold``.
-
-    A null or blank text has no words and fails.  Each row is judged by itself, so repeated rows get equal results;
-    an empty table gives an empty result; without trusted rows all weights are nearly flat and only the plain rules
-    decide.  Columns of ``docs`` with the names of results are replaced."""
-    weights = fit_weights(docs, labels, buckets, at_most)
+def _scored(docs: DataFrame, weights: list[int], min_words: int, max_repeat_pct: int) -> DataFrame:
+    """The columns of ``docs``, those of the rules, and ``llr``."""
     table = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<bigint>")
     text = F.coalesce(F.col("text"), F.lit(""))
-    total = let(_ngrams(F.col("_w"), buckets), lambda b: F.struct(F.aggregate(b, F.lit(0).cast("bigint"), lambda acc, x: acc + F.get(table, x)).alias("s"), F.size(b).alias("n")))
+    total = let(_ngrams(F.col("_w"), len(weights)), lambda b: F.struct(F.aggregate(b, F.lit(0).cast("bigint"), lambda acc, x: acc + F.get(table, x)).alias("s"), F.size(b).alias("n")))
     scored = docs.withColumn("_w", space_words(F.col("text"))).select(
-        *[c for c in docs.columns if c not in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")],
+        *[c for c in docs.columns if c not in (*RESULTS, "kept")],
         F.size("_w").cast("bigint").alias("n_words"),
         F.length(F.translate(text, SPACES, "")).cast("bigint").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("bigint").alias("n_symbols"),
@@ -113,4 +106,40 @@ def quality_rules(
     )
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
     llr = F.when(F.col("_t.n") > 0, F.expr("_t.s div _t.n")).otherwise(F.lit(0).cast("bigint"))
-    return scored.withColumn("base_failed", failed).withColumn("llr", llr).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= round(threshold * UNIT))).drop("_t")
+    return scored.withColumn("base_failed", failed).withColumn("llr", llr).drop("_t")
+
+
+def least_of_good(scored: DataFrame, labels: DataFrame) -> int:
+    """The least ``llr`` of the rows labelled 1 that pass the plain rules, but not less than THRESHOLD; THRESHOLD if
+    there are none."""
+    good = labels.filter("quality = 1").select("doc_id").distinct()
+    least = scored.filter(~F.col("base_failed")).join(good, "doc_id", "left_semi").agg(F.min("llr").alias("least")).first().least
+    floor = round(THRESHOLD * UNIT)
+    return floor if least is None else max(floor, least)
+
+
+def quality_rules(
+    docs: DataFrame, labels: DataFrame, *, buckets: int = 4096, at_most: int = 50_000, threshold: float | None = THRESHOLD,
+    min_words: int = 20, max_repeat_pct: int = 30, carried: list[str] | None = None,
+) -> DataFrame:
+    """The columns of ``docs`` (or the ``carried`` ones) and those of the rules, ``llr`` and ``kept``.
+
+    ``llr`` is the mean over a text's word unigrams and bigrams of the log-likelihood ratio between trusted text and
+    the raw corpus, in units of 2^-20; a row is kept if it passes the plain rules and ``llr`` is at least ``threshold``.
+    Where that is None, it is the least ``llr`` of all rows labelled 1 that pass the plain rules, though never less than
+    THRESHOLD; the scores are then written to the shared folder, so that they are computed once.
+
+    A null or blank text has no words and fails.  Each row is judged by itself, so repeated rows get equal results;
+    an empty table gives an empty result; without trusted rows all weights are nearly flat and only the plain rules
+    decide.  Columns of ``docs`` with the names of results are replaced."""
+    weights = fit_weights(docs, labels, buckets, at_most)
+    scored = _scored(docs, weights, min_words, max_repeat_pct)
+    scored = scored if carried is None else scored.select(*carried, *RESULTS)
+    if threshold is None:
+        folder = f"{shared_folder(docs.sparkSession)}/quality-{uuid.uuid4().hex}"
+        scored.write.parquet(folder)
+        scored = docs.sparkSession.read.parquet(folder)
+        least = least_of_good(scored, labels)
+    else:
+        least = round(threshold * UNIT)
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= least))

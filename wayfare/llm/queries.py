@@ -20,7 +20,7 @@ TOKENIZERS = os.environ.get("WAYFARE_TOKENIZERS", "/opt/tokenizers")
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, llr."""
     docs, labels = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality")
-    judged = quality.quality_rules(docs, labels)
+    judged = quality.quality_rules(docs, labels, threshold=None, carried=["doc_id"])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
