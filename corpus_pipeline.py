@@ -59,6 +59,11 @@ def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
 
 
+def decoded(rows: DataFrame) -> DataFrame:
+    """The columns of the last stage and text: what its ids decode to, row by row."""
+    return pieces.with_decoded(rows, pieces.model_bytes(f"{TOKENIZERS}/piece_bpe_32k.model"))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", quality_stage),
     ("line dedup", line_stage),
@@ -72,11 +77,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
+    """All stages over documents, each written to the shared folder and read again, and the text decoded from the ids."""
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         if k:
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
         docs = stage(spark, docs, sf_dir)
-    return docs
+    docs.write.parquet(f"{folder}/{len(STAGES)}")
+    return decoded(spark.read.parquet(f"{folder}/{len(STAGES)}"))

@@ -89,3 +89,11 @@ def test_odd_rows(spark, sf):
 
 def test_run(spark, sf):
     assert cp.run(spark, sf).count() > 20 and len(cp.STAGES) == 5
+
+
+def test_run_decodes_its_ids(spark, sf):
+    got = cp.run(spark, sf)
+    assert got.columns == ["doc_id", "n_tokens", "ids", "text"]
+    sp = sentencepiece.SentencePieceProcessor(model_file=f"{TOKENIZERS}/piece_bpe_32k.model")
+    rows = got.collect()
+    assert len(rows) > 20 and all(r.text == sp.decode(r.ids) for r in rows)

@@ -58,8 +58,8 @@ def encode_ids(docs: DataFrame, model: bytes) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
-def decode_ids(rows: DataFrame, model: bytes) -> DataFrame:
-    """doc_id and text of rows with doc_id and ids; null ids give an empty text."""
+def with_decoded(rows: DataFrame, model: bytes) -> DataFrame:
+    """The columns of rows with ids, and the text of the ids; null ids give an empty text.  A text column is replaced."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     @F.udf("string")
@@ -68,4 +68,9 @@ def decode_ids(rows: DataFrame, model: bytes) -> DataFrame:
 
         return codec(shared.value).decode(ids or [])
 
-    return rows.select("doc_id", text("ids").alias("text"))
+    return rows.withColumn("text", text("ids"))
+
+
+def decode_ids(rows: DataFrame, model: bytes) -> DataFrame:
+    """doc_id and text of rows with doc_id and ids; null ids give an empty text."""
+    return with_decoded(rows, model).select("doc_id", "text")
