@@ -55,7 +55,7 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
-    return secrets.secret_digests(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return secrets.secret_digests(table(spark, sf_dir, "documents", "doc_id", "text"), wide=True)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,9 @@ KEY = r"[A-Za-z0-9+/_-]{32,}={0,2}"
 USER = r"""(?i:\b(?:user(?:_?name)?|login|account|client_?id)["']?\x20*[:=]\x20*["']?)[A-Za-z0-9@._-]{3,}"""
 ENDPOINT = r"""(?i:\b(?:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://)[^\s"'<>]+"""
 
+#: Shorter or single-case keys, for wide linking: letters and digits together.
+SHORT = r"[A-Za-z0-9+/_-]{16,}={0,2}"
+
 _SPAN = "array<struct<start:int,kind:int,stop:int>>"
 
 
@@ -44,6 +47,10 @@ def _mixed(m: Column) -> Column:
     return m.rlike("[0-9]") & m.rlike("[A-Z]") & m.rlike("[a-z]")
 
 
+def _lettered(m: Column) -> Column:
+    return m.rlike("[0-9]") & m.rlike("[A-Za-z]")
+
+
 def _written(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", F.element_at(F.array(*[F.lit(k) for k in KINDS]), s["kind"] + 1), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
@@ -62,39 +69,64 @@ def _linked(parts: DataFrame, scope: int) -> DataFrame:
     return seen.filter("(role = 'id' AND secret = 1) OR (role = 'secret' AND id = 1) OR (role = 'end' AND id = 1 AND secret = 1)").select("doc_id", "key", "span")
 
 
-def scan_secrets(docs: DataFrame, *, scope: int = 200) -> DataFrame:
+def _linked_wide(parts: DataFrame, scope: int) -> DataFrame:
+    """As _linked, but gaps are measured from the end of one span to the start of the next, an endpoint and a secret
+    complete each other, and role "short" (a key that counts only beside an id) completes ids and endpoints with one.
+
+    A span is cut at the buckets' borders, so that two spans are within the scope if a piece of each is, in the same
+    bucket or neighbours; the join gives a piece 12 rows at most."""
+    pieces = parts.withColumn("bucket", F.explode(F.expr(f"sequence(span.start div {scope}, greatest(span.start, span.stop - 1) div {scope})")))
+    pieces = pieces.withColumn("at", F.greatest(F.col("span.start"), F.col("bucket") * scope)).withColumn("to", F.least(F.col("span.stop"), (F.col("bucket") + 1) * scope))
+    ends = pieces.groupBy("doc_id", "key", "bucket", "role").agg(F.min("at").alias("lo"), F.max("to").alias("hi"))
+    ends = ends.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.explode(F.array(*[F.col("bucket") + i for i in (-1, 0, 1)])).alias("_b"), F.col("role").alias("other"), "lo", "hi")
+    weak = pieces.filter("weak").distinct()
+    near = weak.join(ends, F.expr(f"doc_id <=> _d AND key = _k AND bucket = _b AND role <> other AND hi >= at - {scope} AND lo <= to + {scope}"))
+    has = lambda role: F.max((F.col("other") == role).cast("int")).alias(f"n_{role}")
+    seen = near.groupBy("doc_id", "key", "span", "role").agg(has("id"), has("secret"), has("short"), has("end"))
+    fits = "(role = 'id' AND n_secret + n_short > 0) OR (role = 'secret' AND n_id + n_end > 0) OR (role = 'short' AND n_id = 1) OR (role = 'end' AND (n_secret = 1 OR n_id + n_short = 2))"
+    return seen.filter(fits).select("doc_id", "key", "span")
+
+
+def scan_secrets(docs: DataFrame, *, scope: int = 200, wide: bool = False) -> DataFrame:
     """doc_id, text_key, base and found: arrays of (start, kind, stop) of the base patterns and of all; one row for
     each row of ``docs``.
 
     Weak candidates are runs of 32 or more mixed characters (kind key), account names (user) and endpoints.  A name
     is reported if a secret starts within ``scope`` code points, a key if a name or an access identifier does, and
-    an endpoint if both do.  A null text is an empty one; rows of one id and text get equal results; null ids are ids
+    an endpoint if both do.  With ``wide``, an endpoint and a secret (a key too) complete each other without a name; runs
+    of 16 or more letters and digits are keys beside a name or an access identifier; and the scope counts from the end
+    of one span to the start of the next.  A null text is an empty one; rows of one id and text get equal results; null ids are ids
     like any other; an empty table gives an empty result.  Only doc_id and text are read, so other columns cannot
     clash."""
-    text = F.col("_t")
+    text, none = F.col("_t"), F.array().cast(_SPAN)
     flat = docs.select("doc_id", text_key(F.col("text")).alias("key"), F.coalesce("text", F.lit("")).alias("_t"))
     scanned = flat.select(
         "doc_id", "key",
         spans(text, ASSIGN, 0, lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 6).alias("assign"),
         spans(text, ACCESS, 1).alias("access"),
         spans(text, HEX, 2).alias("hex"),
-        spans(text, KEY, 3, _mixed).alias("k"),
+        spans(text, SHORT if wide else KEY, 3, _lettered if wide else _mixed).alias("k"),
+        (spans(text, KEY, 3, _mixed) if wide else none).alias("long"),
         spans(text, USER, 4).alias("user"),
         spans(text, ENDPOINT, 5).alias("endpoint"),
     )
     # a candidate inside a base match is no other secret
     base = F.sort_array(F.concat("assign", "access", "hex"))
     free = lambda c: F.filter(c, lambda s: ~F.exists(F.concat("assign", "access", "hex"), lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
-    scanned = kept(scanned.select("doc_id", "key", base.alias("base"), "assign", "access", "hex", free(F.col("k")).alias("k"), free(F.col("user")).alias("user"), "endpoint"))
+    scanned = kept(scanned.select("doc_id", "key", base.alias("base"), "assign", "access", "hex", free(F.col("k")).alias("k"), free(F.col("user")).alias("user"), "endpoint", free(F.col("long")).alias("long")))
+    if wide:  # what is part of an endpoint or a name is no short key beside it
+        short = F.filter("k", lambda s: ~F.exists(F.concat("user", "endpoint", "long"), lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
+        scanned = scanned.withColumn("short", short).withColumn("k", F.col("long"))
     tagged = lambda c, role, weak: F.transform(F.col(c), lambda s: F.struct(s.alias("span"), F.lit(role).alias("role"), F.lit(weak).alias("weak")))
-    every = F.concat(*[tagged(c, role, weak) for c, role, weak in (("assign", "secret", False), ("hex", "secret", False), ("access", "id", False), ("k", "secret", True), ("user", "id", True), ("endpoint", "end", True))])
-    parts = scanned.filter(F.size("k") + F.size("user") + F.size("endpoint") > 0).select("doc_id", "key", F.explode(every).alias("x")).select("doc_id", "key", "x.*")
-    more = _linked(parts, scope).groupBy("doc_id", "key").agg(F.collect_set("span").alias("more")).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "more")
+    keys = [("k", "secret", True), ("short", "short", True)] if wide else [("k", "secret", True)]
+    every = F.concat(*[tagged(c, role, weak) for c, role, weak in (("assign", "secret", False), ("hex", "secret", False), ("access", "id", False), *keys, ("user", "id", True), ("endpoint", "end", True))])
+    parts = scanned.filter(" + ".join(f"size({c})" for c in ([k for k, _, weak in keys if weak] + ["user", "endpoint"])) + " > 0").select("doc_id", "key", F.explode(every).alias("x")).select("doc_id", "key", "x.*")
+    more = (_linked_wide if wide else _linked)(parts, scope).groupBy("doc_id", "key").agg(F.collect_set("span").alias("more")).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "more")
     out = scanned.join(more, F.expr("doc_id <=> _d AND key = _k"), "left")
     return out.select("doc_id", F.col("key").alias("text_key"), "base", F.sort_array(F.concat("base", F.coalesce("more", F.array().cast(_SPAN)))).alias("found"), *[F.size(c).cast("bigint").alias(f"n_{c}") for c in KINDS[:3]])
 
 
-def secret_digests(docs: DataFrame, *, scope: int = 200) -> DataFrame:
+def secret_digests(docs: DataFrame, *, scope: int = 200, wide: bool = False) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans (kind:start:stop by start and then kind)."""
-    found = scan_secrets(docs, scope=scope)
+    found = scan_secrets(docs, scope=scope, wide=wide)
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(F.col("found")).alias("spans"))
