@@ -32,15 +32,30 @@ WITH p AS (
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
   FROM pages),
 known AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
-h AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad, string_split(regexp_replace(string_split(host, '@')[-1], ':\\d*$', ''), '.') AS a
+h AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad, string_split(regexp_replace(regexp_replace(string_split(host, '@')[-1], ':\\d*$', ''), '\\.+$', ''), '.') AS a
   FROM p LEFT JOIN known USING (page_id) GROUP BY host),
 l AS (SELECT *, CASE WHEN array_to_string(a[greatest(len(a) - 1, 1):], '.') IN ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.in', 'co.nz', 'co.za', 'com.cn') THEN 2 ELSE 1 END AS k FROM h),
 x AS (SELECT host, n, bad, array_to_string(a[greatest(len(a) - k + 1, 1):], '.') AS suffix, array_to_string(a[greatest(len(a) - k, 1):], '.') AS domain FROM l),
+dx AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM x GROUP BY ALL),
+sx AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM dx GROUP BY ALL),
+parts AS (
+  SELECT 1 AS level, '' AS parent, n, bad FROM sx WHERE n > 0
+  UNION ALL SELECT 2, suffix, n, bad FROM dx WHERE n > 0
+  UNION ALL SELECT 3, suffix || ' ' || domain, n, bad FROM x WHERE n > 0),
+means AS (SELECT *, sum(bad) OVER w / sum(n) OVER w AS m, sum(n) OVER w AS total FROM parts WINDOW w AS (PARTITION BY level, parent)),
+groups AS (SELECT level, parent, any_value(m) * (1 - any_value(m)) AS v, sum(n * (bad / n - m) ^ 2) AS between_sum, count(*) - 1 AS free, any_value(total) - sum(n::DOUBLE * n) / any_value(total) AS pairs FROM means GROUP BY level, parent),
+rho AS (SELECT level, CASE WHEN sum(v * (pairs - free)) > 1e-12 THEN sum(between_sum - v * free) / sum(v * (pairs - free)) END AS r FROM groups GROUP BY level),
+weight AS (SELECT i AS level, CASE WHEN r IS NULL THEN 8.0 WHEN r <= 1 / 10001.0 THEN 10000.0 ELSE greatest(0.5, 1 / r - 1) END::DOUBLE AS s FROM range(1, 4) t(i) LEFT JOIN rho ON level = i),
 whole AS (SELECT (coalesce(sum(bad), 0) + 1.0::DOUBLE) / (coalesce(sum(n), 0) + 2.0::DOUBLE) AS prior FROM x),
-s AS (SELECT suffix, (sum(bad) + 8.0::DOUBLE * any_value(prior)) / (sum(n) + 8.0::DOUBLE) AS sm FROM x, whole GROUP BY suffix),
-d AS (SELECT suffix, domain, (sum(bad) + 8.0::DOUBLE * any_value(sm)) / (sum(n) + 8.0::DOUBLE) AS dm FROM x JOIN s USING (suffix) GROUP BY suffix, domain),
-r AS (SELECT host, n, (bad + 8.0::DOUBLE * dm) / (n + 8.0::DOUBLE) AS mean FROM x JOIN d USING (suffix, domain)),
-rep AS (SELECT host, mean - 1.645::DOUBLE * sqrt(mean * (1 - mean) / (n + 8.0::DOUBLE + 1)) > 0.3::DOUBLE AS bad FROM r),
+s AS (SELECT suffix, (bad + w.s * prior) / (n + w.s) AS sm FROM sx, whole, weight w WHERE level = 1),
+d AS (SELECT suffix, domain, (bad + w.s * sm) / (n + w.s) AS dm FROM dx JOIN s USING (suffix), weight w WHERE level = 2),
+r AS (SELECT host, bad + w.s * dm AS a, n - bad + w.s * (1 - dm) AS b FROM x JOIN d USING (suffix, domain), weight w WHERE level = 3),
+-- the integral of the beta density up to 0.3, by Simpson's rule in steps of 0.3 / 20000 over a substitution that tames both ends
+points AS (SELECT i, sin(i * asin(sqrt(0.3)) / 20000) ^ 2 AS t, CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS c FROM range(0, 20001) p(i)),
+below AS (
+  SELECT host, sum(c * CASE WHEN t > 0 THEN 2 * exp((a - 0.5) * ln(t) + (b - 0.5) * ln(1 - t) + lgamma(a + b) - lgamma(a) - lgamma(b)) ELSE 0 END) * asin(sqrt(0.3)) / 60000 AS p
+  FROM r, points WHERE a > 0.3 * (a + b) GROUP BY host),
+rep AS (SELECT host, coalesce(p < 0.05, false) AS bad FROM r LEFT JOIN below USING (host)),
 judged AS (
   SELECT page_id, host, path, rep.bad, CASE
       WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/7') THEN ['example.com/en/7', 'allow']
