@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import LOWER, SPACES, UPPER, let, shared_folder, space_words
+from .text import LOWER, SPACES, UPPER, let, scratch, space_words
 
 #: Weights are whole numbers of 2^-20 nats, so that sums do not depend on the order of the rows.
 UNIT = 1 << 20
 #: The least mean ratio to be kept where none is derived, and the least that is derived.  Labelled good texts stay above
 #: it even in corpora of some hundred rows.
 THRESHOLD = -0.05
+#: Buckets of n-grams in small corpora.
+LEAST_BUCKETS = 4096
 RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr")
 
 
@@ -68,12 +70,21 @@ def trusted_ids(labels: DataFrame, at_most: int = 50_000) -> DataFrame:
     return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(at_most)
 
 
-def fit_weights(docs: DataFrame, labels: DataFrame, buckets: int = 4096, at_most: int = 50_000) -> list[int]:
-    """ln(p_trusted / p_raw) of each bucket in units of 2^-20, from add-one counts over the whole table.
+def buckets_for(docs: DataFrame) -> int:
+    """A power of two from LEAST_BUCKETS on, at least a quarter of the root of the corpus' length in characters.
 
-    The result has one number a bucket, whatever the input's size."""
-    import math
+    The number of different n-grams grows slower than the text, and the weights are sent to every task: at 100 TB they
+    are 4 million whole numbers."""
+    chars = docs.agg(F.coalesce(F.sum(F.length("text").cast("bigint")), F.lit(0)).alias("n")).first().n
+    return max(LEAST_BUCKETS, 1 << math.ceil(math.log2(max(1.0, math.sqrt(chars) / 4))))
 
+
+def fit_weights(docs: DataFrame, labels: DataFrame, buckets: int | None = None, at_most: int = 50_000) -> str:
+    """ln(p_trusted / p_raw) of each bucket in units of 2^-20, from add-one counts over the whole table, joined by commas.
+
+    The result has one number a bucket; their number is ``buckets`` or follows from the corpus' length."""
+    spark = docs.sparkSession
+    buckets = buckets_for(docs) if buckets is None else buckets
     trusted = trusted_ids(labels, at_most).select(F.col("doc_id").alias("_id"), F.lit(1).alias("_trusted"))
     counts = (
         docs.select("doc_id", space_words(F.col("text")).alias("_w"))
@@ -82,19 +93,19 @@ def fit_weights(docs: DataFrame, labels: DataFrame, buckets: int = 4096, at_most
         .groupBy("b")
         .agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target"))
     )
-    raw, target = [1] * buckets, [1] * buckets
-    for r in counts.collect():
-        raw[r.b] += r.raw
-        target[r.b] += r.target
-    n_raw, n_target = sum(raw), sum(target)
-    return [round(UNIT * (math.log(t / n_target) - math.log(r / n_raw))) for t, r in zip(target, raw, strict=True)]
+    every = spark.range(buckets).select(F.col("id").cast("int").alias("i")).join(counts, F.col("i") == F.col("b"), "left")
+    every = every.select("i", (F.coalesce("raw", F.lit(0)) + 1).alias("raw"), (F.coalesce("target", F.lit(0)) + 1).alias("target"))
+    # all numbers of one array stand in one row: 16 bytes a bucket
+    lists = every.agg(F.array_sort(F.collect_list(F.struct("i", "raw", "target"))).alias("x"), F.sum("raw").alias("n_raw"), F.sum("target").alias("n_target"))
+    ratio = lambda x: F.round(UNIT * (F.log(x["target"] / F.col("n_target")) - F.log(x["raw"] / F.col("n_raw")))).cast("bigint").cast("string")
+    return lists.select(F.array_join(F.transform("x", ratio), ",").alias("w")).first().w
 
 
-def _scored(docs: DataFrame, weights: list[int], min_words: int, max_repeat_pct: int) -> DataFrame:
+def _scored(docs: DataFrame, weights: str, min_words: int, max_repeat_pct: int) -> DataFrame:
     """The columns of ``docs``, those of the rules, and ``llr``."""
-    table = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<bigint>")
+    table = F.split(F.lit(weights), ",").cast("array<bigint>")
     text = F.coalesce(F.col("text"), F.lit(""))
-    total = let(_ngrams(F.col("_w"), len(weights)), lambda b: F.struct(F.aggregate(b, F.lit(0).cast("bigint"), lambda acc, x: acc + F.get(table, x)).alias("s"), F.size(b).alias("n")))
+    total = let(_ngrams(F.col("_w"), weights.count(",") + 1), lambda b: F.struct(F.aggregate(b, F.lit(0).cast("bigint"), lambda acc, x: acc + F.get(table, x)).alias("s"), F.size(b).alias("n")))
     scored = docs.withColumn("_w", space_words(F.col("text"))).select(
         *[c for c in docs.columns if c not in (*RESULTS, "kept")],
         F.size("_w").cast("bigint").alias("n_words"),
@@ -119,7 +130,7 @@ def least_of_good(scored: DataFrame, labels: DataFrame) -> int:
 
 
 def quality_rules(
-    docs: DataFrame, labels: DataFrame, *, buckets: int = 4096, at_most: int = 50_000, threshold: float | None = THRESHOLD,
+    docs: DataFrame, labels: DataFrame, *, buckets: int | None = None, at_most: int = 50_000, threshold: float | None = THRESHOLD,
     min_words: int = 20, max_repeat_pct: int = 30, carried: list[str] | None = None,
 ) -> DataFrame:
     """The columns of ``docs`` (or the ``carried`` ones) and those of the rules, ``llr`` and ``kept``.
@@ -127,7 +138,8 @@ def quality_rules(
     ``llr`` is the mean over a text's word unigrams and bigrams of the log-likelihood ratio between trusted text and
     the raw corpus, in units of 2^-20; a row is kept if it passes the plain rules and ``llr`` is at least ``threshold``.
     Where that is None, it is the least ``llr`` of all rows labelled 1 that pass the plain rules, though never less than
-    THRESHOLD; the scores are then written to the shared folder, so that they are computed once.
+    THRESHOLD; the scores are then written to the shared folder, so that they are computed once.  The weights' number
+    grows with the corpus (``buckets_for``) unless ``buckets`` is given.
 
     A null or blank text has no words and fails.  Each row is judged by itself, so repeated rows get equal results;
     an empty table gives an empty result; without trusted rows all weights are nearly flat and only the plain rules
@@ -136,7 +148,7 @@ def quality_rules(
     scored = _scored(docs, weights, min_words, max_repeat_pct)
     scored = scored if carried is None else scored.select(*carried, *RESULTS)
     if threshold is None:
-        folder = f"{shared_folder(docs.sparkSession)}/quality-{uuid.uuid4().hex}"
+        folder = scratch(docs.sparkSession, "quality")
         scored.write.parquet(folder)
         scored = docs.sparkSession.read.parquet(folder)
         least = least_of_good(scored, labels)

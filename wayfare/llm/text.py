@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,19 +68,40 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names, which all executors share."""
-    context = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and context._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
+    """The folder that spark.checkpoint.dir names, which all executors share.
 
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="wayfare-"))  # no cluster has named a folder: local tests
+    Where it is unset, a local session gets a folder of its own; a cluster has to name one."""
+    context = spark.sparkContext
     folder = context._jsc.sc().getCheckpointDir()
     if folder.isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if not named:
+            import tempfile
+
+            named = tempfile.mkdtemp(prefix="wayfare-")
+        context.setCheckpointDir(named)
         folder = context._jsc.sc().getCheckpointDir()
     return folder.get()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the driver ends: results have to be written elsewhere by then."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(where)  # only what exists can be marked
+    files.deleteOnExit(where)
+    return f"{path}/data"
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared storage that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """Cuts the lineage by a checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
