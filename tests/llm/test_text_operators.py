@@ -62,8 +62,8 @@ def test_decontaminate_as_brute_force(spark):
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[-1]), (2, texts[-1]), (2, texts[-1])]
     docs, bench = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, key int, items int"), spark.createDataFrame(items, "item_id long, text string")
     want = sorted(((d, *brute.decontaminated(t, items)) for d, t in rows), key=str)
-    for most in (decontaminate.BROADCAST_WINDOWS, 0):  # both ways to join
-        got = decontaminate.decontaminate(docs, bench, broadcast_windows=most)
+    for most in (decontaminate.BROADCAST_BYTES, 0):  # both ways to join
+        got = decontaminate.decontaminate(docs, bench, broadcast_bytes=most)
         got = got.select("doc_id", "n_words", "n_hit", F.size("items").alias("n_items"), decontaminate.digest(F.col("items")), "contaminated").collect()
         assert sorted(map(tuple, got), key=str) == want
     assert decontaminate.decontaminate(docs.limit(0), bench).count() == 0

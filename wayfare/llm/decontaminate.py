@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from .text import kept, plain_words, text_key, windows
 
-#: Up to so many item windows are broadcast (about 150 bytes each); more are joined by a shuffle.
-BROADCAST_WINDOWS = 500_000
+#: Item windows are broadcast while they take so many bytes at most; more are joined by a shuffle.
+BROADCAST_BYTES = 128 << 20
+#: What a window takes besides its text, which is held three times: rows of hashes, keys and headers.
+WINDOW_BYTES = 600
 
 
 def _item_windows(items: DataFrame, width: int) -> DataFrame:
@@ -23,14 +25,15 @@ def _shingled(words: Column, k: int) -> Column:
     return F.coalesce(windows(words, k, lambda s: F.xxhash64(s)), F.array().cast("array<bigint>"))
 
 
-def find_windows(docs: DataFrame, items: DataFrame, *, width: int = 8, shingle: int = 4, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+def find_windows(docs: DataFrame, items: DataFrame, *, width: int = 8, shingle: int = 4, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Occurrences (doc_id, key, start, len, win) of item windows in ``docs``; start counts words from 0.
 
     A window occurs only where each of its shingles does, so one is enough to look for: the rarest over the whole
     corpus.  Documents are joined on that prefix; a candidate must lie inside the document (position and length
     bounds), and then all its words are compared."""
     wins = _item_windows(items, width).select("win").distinct()
-    small = wins.count() <= broadcast_windows
+    size = wins.agg(F.coalesce(F.sum(3 * F.octet_length("win").cast("bigint") + WINDOW_BYTES), F.lit(0)).alias("n")).first().n
+    small = size <= broadcast_bytes
     hint = F.broadcast if small else (lambda df: df)
     parts = wins.select("win", F.split("win", " ").alias("w")).select("win", F.size("w").alias("len"), F.least(F.size("w"), F.lit(shingle)).alias("k"), "w")
     lengths = sorted(r.k for r in parts.select("k").distinct().collect())  # 1 to ``shingle``
@@ -85,21 +88,20 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(F.sort_array(spans), zero, step, lambda acc: acc["n"])
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, *, width: int = 8, min_items: int = 2, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, *, width: int = 8, min_items: int = 2, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, key, n_words, n_hit, items (array of ids), contaminated: one row for each row of ``docs``.
 
     A document word is hit if it lies in an occurrence of a window of an item; a document is contaminated from
     ``min_items`` items with occurring windows on.  Null or empty texts have no words; null ids are ids like any
     other; rows of one id and text get equal results; items without an id or words are ignored; without items
     nothing is hit.  Only doc_id and text, item_id and text are read, so other columns cannot clash."""
-    found = kept(find_windows(docs, items, width=width, broadcast_windows=broadcast_windows).distinct())  # read twice
-    spans = found.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "len")).alias("spans"))
-    owners = _item_windows(items, width)
-    ids = found.select("doc_id", "key", "win").distinct().join(owners, "win").groupBy("doc_id", "key").agg(F.collect_set("item_id").alias("items"))
+    found = kept(find_windows(docs, items, width=width, broadcast_bytes=broadcast_bytes).distinct())  # read twice
+    spans = found.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "len")).alias("spans"), F.sort_array(F.collect_set("win")).alias("wins"))
+    # items of each distinct set of windows: documents that share a passage don't meet its items one by one
+    sets = spans.select("wins").distinct()
+    owned = sets.select("wins", F.explode("wins").alias("win")).join(_item_windows(items, width), "win").groupBy("wins").agg(F.collect_set("item_id").alias("items"))
     base = docs.select("doc_id", text_key(F.col("text")).alias("key"), F.size(plain_words(F.col("text"))).cast("bigint").alias("n_words"))
-    both = spans.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), _covered(F.col("spans")).cast("bigint").alias("hit")).join(
-        ids.select(F.col("doc_id").alias("d2"), F.col("key").alias("k2"), "items"), F.expr("d <=> d2 and k = k2")
-    )
+    both = spans.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), _covered(F.col("spans")).cast("bigint").alias("hit"), "wins").join(owned, "wins")
     out = base.join(both, F.expr("doc_id <=> d and key = k"), "left")
     none = F.array().cast(both.schema["items"].dataType)
     return out.select(
