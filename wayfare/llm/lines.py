@@ -17,9 +17,9 @@ def trimmed(line: Column) -> Column:
 
 
 def _exploded(docs: DataFrame) -> DataFrame:
-    """doc_id, key, source, pos, h: the lines with a word, as they are but for white space at their ends."""
+    """doc_id, key, source, pos, h: the lines with a word, as they are but for white space at their ends, by a 128-bit hash."""
     at = docs.select("doc_id", text_key(F.col("text")).alias("key"), "source", F.posexplode(split_lines(F.col("text"))).alias("pos", "line"))
-    return at.select("doc_id", "key", "source", "pos", trimmed(F.col("line")).alias("line")).filter("line <> ''").select("doc_id", "key", "source", "pos", F.xxhash64("line").alias("h"))
+    return at.select("doc_id", "key", "source", "pos", trimmed(F.col("line")).alias("line")).filter("line <> ''").select("doc_id", "key", "source", "pos", F.struct(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b")).alias("h"))
 
 
 def boilerplate(docs: DataFrame, *, min_sites: int = 10, band: float = 0.3, lg_k: int = 12) -> DataFrame:
