@@ -20,6 +20,8 @@ def _turns(rows: DataFrame) -> DataFrame:
 def maximal(rows: DataFrame) -> DataFrame:
     """conv_id, n_turns, n_copies of the conversations that no other one continues; of equal ones the least conv_id.
 
+    One conversation is one partition of a window, which spills: what a task holds is one turn at a time.
+
     A prefix's hash is the exclusive or of 128-bit hashes of its turns with their positions, so it rolls: each turn
     adds one term."""
     turns = _turns(rows)
@@ -40,7 +42,8 @@ def format_chats(rows: DataFrame) -> DataFrame:
     Turns are ordered by turn, then role and text; repeated rows count once.  A conversation is dropped if its turns
     (role and text) begin a longer one's; of equal ones the least conv_id stays, with their number as n_copies.  A
     null role reads "unknown", a null text is empty; rows without a conv_id or turn belong to no conversation.  An
-    empty table gives an empty result; only conv_id, turn, role and text are read, so other columns cannot clash."""
+    empty table gives an empty result; only conv_id, turn, role and text are read, so other columns cannot clash.  A
+    rendered conversation is one string, so its turns together may take 2 GB at most."""
     best = maximal(rows).withColumnRenamed("conv_id", "_c")
     turns = _turns(rows).join(best, F.col("conv_id") == F.col("_c"))
     said = F.concat(F.lit(OPEN), "role", F.lit(MIDDLE), "text", F.lit(CLOSE)).alias("said")
