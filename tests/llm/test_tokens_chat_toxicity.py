@@ -64,32 +64,47 @@ def test_flat_files_of_any_shape(spark, tmp_path):
         assert got == want
 
 
+def test_ids_as_units():
+    ids = [0, None, 5, -1, (1 << 63) - 1, -(1 << 63), 50256]
+    for eod in (50256, 0, 16383, 16384):
+        units = tokens.listed(ids, eod, "<u2")
+        assert eod not in units and tokens.unlisted(units, eod) == ids
+    assert tokens.unlisted(tokens.listed([], 1, "<u2"), 1) == []
+
+
 def test_token_counts(spark, sf, tmp_path):
     from public_tokenizers import PATTERN
 
     ranks = pieces.model_bytes(f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(None, "x"), (7, None), (7, ""), (8, "long " * 50_000), (8, "long")], "doc_id long, text string"))
-    docs.withColumn("file", F.lit("f")).write.parquet(str(tmp_path / "docs"))
-    docs = spark.read.parquet(str(tmp_path / "docs"))
+    odd = spark.createDataFrame([(None, "x"), (7, None), (7, ""), (8, "long " * 50_000), (8, "long")], "doc_id long, text string")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(odd).withColumn("file", F.lit("f"))
     encode = tokens._encoding(ranks, PATTERN).encode_ordinary
     want = sorted(((d, len(encode(t or ""))) for d, t in docs.select("doc_id", "text").collect()), key=str)
-    got = tokens.count_tokens(docs, str(tmp_path / "flat"), ranks, PATTERN, eod=50256, documents=17, block_bytes=1000)
-    assert sorted(map(tuple, got.collect()), key=str) == want
-    docs.limit(0).write.parquet(str(tmp_path / "none"))
-    assert tokens.count_tokens(spark.read.parquet(str(tmp_path / "none")), str(tmp_path / "flat2"), ranks, PATTERN, eod=50256).count() == 0
-
-
-def test_names_of_files_with_ids_like_parts(spark, tmp_path, monkeypatch):
-    """A job's random id may hold "-c3"; only the end of a file's name says which part of a task it is."""
-    df = spark.createDataFrame([("file:/x/part-1-2/part-00002-2667b1ce-775d-4184-c3a3-c9d6a478f256-c001.txt", 4, 9, True)], "file string, place long, n_tokens long, closed boolean")
-    marks = spark.createDataFrame([(7, (2 << 33) + 104)], "doc_id long, mark long")
-    monkeypatch.setattr(tokens, "write_flat", lambda *a, **k: marks)
-    monkeypatch.setattr(tokens, "scan_flat", lambda *a, **k: df)
-    docs = spark.createDataFrame([(7, "x")], "doc_id long, text string")
-    assert [tuple(r) for r in tokens.count_tokens(docs, "p", b"", "", eod=1, documents=100).collect()] == [(7, 9)]
-    monkeypatch.setattr(tokens, "write_flat", lambda *a, **k: marks.selectExpr("doc_id", "mark + 1 AS mark"))
-    with pytest.raises(Exception, match="no place"):
-        tokens.count_tokens(docs, "p", b"", "", eod=1, documents=100).collect()
+    for k, more in enumerate(({}, {"documents": 17, "block_bytes": 1000}, {"file_bytes": 5000, "documents": 40, "block_bytes": 500})):  # one document is far beyond a file, a file beyond a block
+        got = tokens.count_tokens(docs, str(tmp_path / f"flat{k}"), ranks, PATTERN, eod=50256, **more)
+        assert sorted(map(tuple, got.collect()), key=str) == want
+    held = {r.file.rsplit("/", 1)[1]: r["count"] - 1 for r in tokens.scan_flat(spark, str(tmp_path / "flat2"), eod=50256).groupBy("file").count().collect()}
+    sizes = {p.name: p.stat().st_size for p in (tmp_path / "flat2").glob("part-*")}
+    assert max(sizes.values()) > 50_000 and all(n == 1 or sizes[f] <= 5002 for f, n in held.items()) and max(held.values()) > 1
+    assert tokens.count_tokens(docs.limit(0), str(tmp_path / "none"), ranks, PATTERN, eod=50256).count() == 0
+    with pytest.raises(ValueError, match="a block"):
+        tokens.count_tokens(docs, "p", ranks, PATTERN, eod=50256, block_bytes=1000)
+
+
+def test_counts_do_not_depend_on_splits(spark, sf, tmp_path):
+    from public_tokenizers import PATTERN
+
+    ranks = pieces.model_bytes(f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    want = sorted(map(tuple, tokens.count_tokens(docs, str(tmp_path / "a"), ranks, PATTERN, eod=50256).collect()))
+    shuffled = docs.repartition(7, F.rand(1))  # gives other rows to other tasks each time it is read
+    got = tokens.count_tokens(shuffled, str(tmp_path / "b"), ranks, PATTERN, eod=50256, documents=9)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        assert sorted(map(tuple, got.collect())) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
 def test_chats_as_brute_force(spark):

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import chat, decontaminate, lines, near, pieces, quality, secrets, tokens, toxicity, urls
 from .sql import SQL
-from .text import shared_folder, table
+from .text import scratch, table
 
 #: Where the public tokenizers' files are.
 TOKENIZERS = os.environ.get("WAYFARE_TOKENIZERS", "/opt/tokenizers")
@@ -64,7 +63,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranks = pieces.model_bytes(f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    return tokens.count_tokens(docs, f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}", ranks, PATTERN, eod=50256)
+    return tokens.count_tokens(docs, scratch(spark, "tokens"), ranks, PATTERN, eod=50256)
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
