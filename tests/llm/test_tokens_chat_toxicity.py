@@ -24,7 +24,7 @@ def test_codec_as_the_library():
     for t in fuzz(3000, 1):
         ids = sp.encode(t, add_eos=True)
         assert codec.encode(t) == ids and codec.decode(ids) == sp.decode(ids)
-        assert codec.digest(t) == (len(ids), " ".join(map(str, ids)), sp.decode(ids))
+        assert codec.codes(t) == " ".join(map(str, ids)) and codec.decode_codes(codec.codes(t)) == sp.decode(ids)
 
 
 def test_encoded_table(spark, sf):
@@ -43,6 +43,17 @@ def test_encoded_table(spark, sf):
     assert sorted(map(tuple, back.collect())) == sorted((d, sp.decode(sp.encode(t or ""))) for d, t in few.collect())
 
 
+def test_decoding_of_odd_ids(spark):
+    sp, model = sentencepiece.SentencePieceProcessor(model_file=MODEL), pieces.model_bytes(MODEL)
+    ids = sp.encode("Some text, é漢😀 twice.")
+    cases = [(1, ids), (1, ids), (2, []), (3, None), (None, [sp.eos_id()]), (4, [sp.bos_id(), *ids, sp.eos_id()]), (5, [sp.unk_id(), *ids]), (6, ids[1:])]
+    rows = spark.createDataFrame([(*c, "old", [1]) for c in cases], "doc_id long, ids array<int>, text string, n array<int>")
+    got = pieces.with_decoded(rows, model)
+    assert got.columns == ["doc_id", "ids", "n", "text"]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(((d, sp.decode(x or [])) for d, x in cases), key=str)
+    assert pieces.decode_ids(rows.limit(0), model).count() == 0
+
+
 def test_flat_files_of_any_shape(spark, tmp_path):
     rnd, want = random.Random(5), {}
     for k in range(6):

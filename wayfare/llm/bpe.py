@@ -55,9 +55,10 @@ class MergeCodec:
             self.shorter[self.ids[p]] = next((self.ids[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in self.automaton), -1)
         self.automaton.make_automaton()
         self.decimal = [str(i) for i in range(n)]
-        self.surface = [None if i in self.kind or i == self.unk else p.replace(SPACE, " ") for i, p in enumerate(self.pieces)]
-        self.units: dict[str, tuple] = {}  # what was used of late; older: what was used before
-        self.older: dict[str, tuple] = {}
+        self.said = {self.decimal[i]: "" if self.kind.get(i) == "control" else p.replace(SPACE, " ") for i, p in enumerate(self.pieces) if self.kind.get(i) != "byte" and i != self.unk}
+        self.spaced = {self.decimal[i] for i, p in enumerate(self.pieces) if p.startswith(SPACE) and i not in self.kind}
+        self.units: dict[str, str] = {}  # what was used of late; older: what was used before
+        self.older: dict[str, str] = {}
         self.most = cached_units
 
     def merged(self, text: str, last: list[str] | None = None) -> list[str]:
@@ -166,21 +167,18 @@ class MergeCodec:
             out += self.covered(unit[start:])
         return out
 
-    def unit(self, unit: str) -> tuple[str, int, str]:
-        """(ids as text, their number, decoded text), kept for the next time."""
+    def unit(self, unit: str) -> str:
+        """Ids in decimal, joined by spaces, kept for the next time."""
         found = self.units.get(unit)
         if found is not None:
             return found
         stem = unit.rstrip(self.marks)
         if stem and len(stem) < len(unit) and unit[len(stem) - 1 : len(stem) + 1] not in self.pairs:
-            x, y = self.unit(stem), self.unit(unit[len(stem) :])
-            return (f"{x[0]} {y[0]}", x[1] + y[1], x[2] + y[2])
+            return f"{self.unit(stem)} {self.unit(unit[len(stem) :])}"
         found = self.older.get(unit)
         if found is None:
-            ids = self.encode_unit(unit)
-            decimal, surface = self.decimal, self.surface
-            parts = [surface[i] for i in ids]
-            found = (" ".join([decimal[i] for i in ids]), len(ids), self.raw(ids) if None in parts else "".join(parts))
+            decimal = self.decimal
+            found = " ".join([decimal[i] for i in self.encode_unit(unit)])
         if len(unit) < 100:
             if len(self.units) >= self.most:
                 self.older, self.units = self.units, {}
@@ -214,7 +212,12 @@ class MergeCodec:
 
     def encode(self, text: str) -> list[int]:
         """All ids, with the end id last."""
-        return [int(i) for u in self.split(text) for i in self.unit(u)[0].split(" ")] + [self.eos]
+        return [int(i) for i in self.codes(text).split(" ")]
+
+    def codes(self, text: str | None) -> str:
+        """All ids in decimal, joined by spaces, with the end id last; a missing text is an empty one."""
+        get, unit = self.units.get, self.unit
+        return " ".join([*[get(u) or unit(u) for u in self.split(text or "")], self.decimal[self.eos]])
 
     def raw(self, ids: list[int]) -> str:
         out: list[str] = []
@@ -239,15 +242,14 @@ class MergeCodec:
         first = next((i for i in ids if self.kind.get(i) != "control"), None)
         return text[1:] if first is not None and self.kind.get(first) is None and self.pieces[first].startswith(SPACE) else text
 
-    def digest(self, text: str | None) -> tuple[int, str, str]:
-        """(number of ids, ids in decimal joined by spaces, decoded text)."""
-        get, unit = self.units.get, self.unit
-        got = [get(u) or unit(u) for u in self.split(text or "")]
-        ids = " ".join([g[0] for g in got])
-        back = "".join([g[2] for g in got])
-        if back and self.pieces[int(got[0][0].partition(" ")[0])].startswith(SPACE):
-            back = back[1:]
-        return sum([g[1] for g in got]) + 1, f"{ids} {self.eos}" if ids else str(self.eos), back
+    def decode_codes(self, codes: str) -> str:
+        """The text of ids in decimal, joined by spaces: by a table where all of them are plain pieces or control ids."""
+        parts = codes.split(" ")
+        try:
+            text = "".join(map(self.said.__getitem__, parts))
+        except KeyError:
+            return self.decode([int(i) for i in parts if i])
+        return text[1:] if parts[0] in self.spaced else text
 
 
 def _text(run: bytes) -> str:
