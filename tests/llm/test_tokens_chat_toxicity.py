@@ -10,6 +10,8 @@ from wayfare.llm import chat, pieces, tokens, toxicity
 from wayfare.llm.bpe import MergeCodec
 from wayfare.llm.queries import TOKENIZERS
 
+from . import brute
+
 MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
 
 
@@ -173,6 +175,31 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(r.severity for r in bad) / len(bad) > 1.5 > 0.5 > sum(r.severity for r in good) / len(good)
 
 
+def test_scores_as_brute_force(spark):
+    """severity and grade of whole texts from the model's weights, with features taken by other means."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{d}/labels.parquet")
+    grades = labels.select("doc_id", F.when(F.col("toxic") == 1, 2).otherwise(1 - F.col("quality")).alias("grade"))
+    model = toxicity.fit_toxicity(docs, grades, n_grades=3, toxic_from=2)
+    odd = [(None, "x"), (-1, None), (-2, ""), (-3, "very " * 60_000 + "long"), (-4, " ".join(w.rstrip("$+") for w in model.weights) * 3)]
+    docs = docs.unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
+    want = []
+    for i, text in [tuple(r) for r in docs.collect()]:
+        words = brute.PLAIN_WORD.findall((text or "").translate(brute.LOWER))
+        z = 0.0
+        for feature, weight in sorted(model.weights.items()):
+            name, twice = feature.rstrip("+"), feature.endswith("+")
+            n = sum((w == name[:-1]) if name.endswith("$") else w.startswith(name) for w in words) if name[: 1 + len(name) // 2].rstrip("$") in (text or "").translate(brute.LOWER) else 0
+            z += weight * ((n >= 2 and 100 * n >= len(words)) if twice else n >= 1)
+        over = [1 / (1 + np.exp(min(700.0, c - z))) for c in model.cuts]
+        want.append((i, sum(over), sum(p >= 0.5 for p in over)))
+    got = sorted(((r.doc_id, r.severity, r.grade, r.toxic) for r in toxicity.score_toxicity(docs, model, toxic_from=2).collect()), key=lambda r: (str(r[0]), r[1]))
+    want.sort(key=lambda r: (str(r[0]), r[1]))
+    assert len(got) == len(want) and len(model.weights) > 3
+    for (i, s, g, t), (j, x, y) in zip(got, want, strict=True):
+        assert i == j and s == pytest.approx(x, abs=2e-6) and g == y and t == (y >= 2)
+
+
 def test_toxicity_edge_cases(spark):
     docs = spark.createDataFrame([(1, None, 2), (2, "", 2), (3, "you idiot", 2), (3, "you idiot", 2), (None, "hello", 2)], "doc_id long, text string, grade int")
     none = toxicity.fit_toxicity(docs, spark.createDataFrame([], "doc_id long, grade int"), n_grades=3)

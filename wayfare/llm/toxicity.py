@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .text import LOWER, MARKS, UPPER, kept
 
-#: Labelled rows that the model is fitted on, and features that it knows, at most.
-SAMPLE, VOCABULARY = 20_000, 2_000
+#: Labelled rows that the model is fitted on at most.
+SAMPLE = 20_000
 HEADS = (4, 5, 6)
 _FOLD = str.maketrans(UPPER + MARKS, LOWER + " " * len(MARKS))
 
@@ -98,12 +98,12 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("grade"), pa.array([sorted(features(t)) for t in part.column("text").to_pylist()], pa.list_(pa.string()))], ["grade", "w"])
 
 
-def fit_toxicity(docs: DataFrame, grades: DataFrame, *, n_grades: int, toxic_from: int = 1, sample: int = SAMPLE, vocabulary: int = VOCABULARY, min_docs: int = 5, min_gain: float = 25.0) -> OrdinalModel:
+def fit_toxicity(docs: DataFrame, grades: DataFrame, *, n_grades: int, toxic_from: int = 1, sample: int = SAMPLE, min_docs: int = 5, min_gain: float = 25.0) -> OrdinalModel:
     """Fits on at most ``sample`` rows with a grade (0 to n_grades - 1), picked by a hash of the id.
 
-    The vocabulary is the features of ``min_docs`` of those texts or more that tell most about a grade of
-    ``toxic_from`` or more (a G-test of ``min_gain`` or more), at most ``vocabulary`` of them; what the driver gets is
-    bounded by both."""
+    The vocabulary is all features of ``min_docs`` of those texts or more that tell about a grade of ``toxic_from`` or
+    more by a G-test of ``min_gain`` or more; what the driver gets is bounded by the sample.  Rows of grades without a
+    text in ``docs`` are left out; all of the rows that share an id in ``docs`` count."""
     ids = grades.filter(F.col("doc_id").isNotNull() & F.col("grade").between(0, n_grades - 1)).groupBy("doc_id").agg(F.max("grade").alias("grade"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("_id"), F.col("grade").cast("int").alias("grade"))
     rows = kept(docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("grade", "text").mapInArrow(_featured, "grade int, w array<string>"))
@@ -115,7 +115,7 @@ def fit_toxicity(docs: DataFrame, grades: DataFrame, *, n_grades: int, toxic_fro
     term = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(F.lit(0.0))
     c, b = F.col("c"), F.col("b")
     g = term(b, c * bad / n) + term(c - b, c * (n - bad) / n) + term(bad - b, (n - c) * bad / n) + term((n - bad) - (c - b), (n - c) * (n - bad) / n)
-    best = counts.select("word", F.round(g, 6).alias("g")).filter(F.col("g") >= min_gain).orderBy(F.desc("g"), "word").limit(vocabulary)
+    best = counts.select("word", F.round(g, 6).alias("g")).filter(F.col("g") >= min_gain)
     words = sorted(r.word for r in best.collect())
     known = F.broadcast(docs.sparkSession.createDataFrame([(w, i) for i, w in enumerate(words)], "word string, i int")) if words else None
     if known is None:
@@ -133,7 +133,7 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, *, toxic_from: int = 1,
     A null or empty text has no features and gets the score of none.  Repeated rows get equal scores; an empty table
     gives an empty result; without labels of both kinds no word weighs anything.  Only doc_id and text are read, so
     other columns cannot clash."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the vocabulary
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample of labelled rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
