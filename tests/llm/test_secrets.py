@@ -1,3 +1,9 @@
+import random
+import time
+from itertools import accumulate
+
+from pyspark.sql import functions as F
+
 from wayfare.llm import secrets
 
 from . import brute
@@ -37,3 +43,34 @@ def test_wide_linking(spark):
     kinds = lambda wide: {r.doc_id: [x.split(":")[0] for x in r.spans.split(",") if x] for r in secrets.secret_digests(df, wide=wide).collect()}
     want = {0: ["endpoint", "key"], 1: ["endpoint", "key"], 2: ["access", "key"], 3: [], 4: [], 5: [], 6: [], 7: ["user", "key"]}
     assert kinds(True) == want and kinds(False) == {**{i: [] for i in want}, 2: ["access"]}
+
+
+def test_running_and_apart(spark, monkeypatch):
+    rnd = random.Random(4)
+    monkeypatch.setattr(secrets, "RUN", 3)
+    values = [[rnd.randrange(-5, 9) for _ in range(n)] for n in (0, 1, 2, 3, 4, 9, 10, 31)]
+    df = spark.createDataFrame([(v,) for v in values], "v array<bigint>")
+    got = df.select("v", secrets.running(F.col("v"), lambda a, b: a + b).alias("s"), secrets.running(F.col("v"), F.greatest).alias("m")).collect()
+    for r in got:
+        assert r.s == list(accumulate(r.v)) and r.m == list(accumulate(r.v, max))
+    rows = []
+    for _ in range(40):
+        one = lambda n: sorted({(a, 1, a + rnd.randint(1, 6)) for a in (rnd.randrange(60) for _ in range(n))})
+        rows.append((one(rnd.randrange(9)), one(rnd.randrange(9))))
+    span = "array<struct<start:int,kind:int,stop:int>>"
+    for r in spark.createDataFrame(rows, f"a {span}, b {span}").select("a", "b", secrets.apart(F.col("a"), F.col("b")).alias("x")).collect():
+        assert [tuple(s) for s in r.x] == [tuple(s) for s in r.a if not any(t[0] < s[2] and s[0] < t[2] for t in r.b)]
+
+
+def test_many_matches_in_one_text(spark):
+    """Four times the matches take about four times as long, and all are found."""
+    line = "token=abcdef {0:024x} user: bob1 AbCdEfGhIjKlMnOpQrStUvWxYz0123456789\n"
+    took = {}
+    for n in (1_000, 4_000):  # of four kinds each
+        text = "".join(line.format(i) for i in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        t = time.time()
+        r = secrets.secret_digests(df, wide=True).collect()[0]
+        took[n] = time.time() - t
+        assert tuple(r)[1:5] == brute.secrets_base(text) and r.spans.count("user:") == n and r.spans.count("key:") == n
+    assert took[4_000] < 8 * took[1_000] + 5

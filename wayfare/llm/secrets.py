@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,25 +22,59 @@ ENDPOINT = r"""(?i:\b(?:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|red
 #: Shorter or single-case keys, for wide linking: letters and digits together.
 SHORT = r"[A-Za-z0-9+/_-]{16,}={0,2}"
 
+#: Values of a run in ``running``.
+RUN = 256
 _SPAN = "array<struct<start:int,kind:int,stop:int>>"
 
 
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """join of the first one, two, ... values (an associative function on bigint), in two levels of RUN values each: an
+    array that grows value by value is copied each time, and here none grows beyond a run or the number of runs."""
+
+    def scan(part: Column, start: Column) -> Column:
+        step = lambda acc, x: let(F.when(acc["at"].isNull(), x).otherwise(join(acc["at"], x)), lambda y: F.struct(y.alias("at"), F.concat(acc["out"], F.array(y)).alias("out")))
+        return F.aggregate(part, F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("out")), step, lambda acc: acc["out"])
+
+    none = F.lit(None).cast("bigint")
+    whole = lambda part: F.aggregate(part, none, lambda acc, x: F.when(acc.isNull(), x).otherwise(join(acc, x)))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / RUN).cast("int")), lambda i: F.slice(values, i * RUN + 1, F.lit(RUN)))
+    runs = let(cut, lambda parts: let(scan(F.transform(parts, whole), none), lambda ends: F.flatten(F.transform(parts, lambda p, i: scan(p, F.when(i > 0, F.get(ends, i - 1)))))))
+    return F.when(F.size(values) == 0, F.array().cast("array<bigint>")).otherwise(runs)
+
+
+def apart(spans: Column, others: Column) -> Column:
+    """The spans that overlap none of the others, in order of their starts.
+
+    Both are sorted together once: a span is free if no other one before it ends beyond its start, and none after it
+    starts before its end."""
+    tagged = lambda c, own: F.transform(c, lambda s: F.struct(s["start"].alias("start"), F.lit(own).alias("own"), s["stop"].alias("stop"), s["kind"].alias("kind")))
+    ends = lambda x: running(F.transform(x, lambda s: F.when(s["own"] == 0, s["stop"]).otherwise(-1).cast("bigint")), F.greatest)
+    starts = lambda x: F.reverse(running(F.reverse(F.transform(x, lambda s: F.when(s["own"] == 0, s["start"]).otherwise(1 << 31).cast("bigint"))), F.least))
+    free = lambda s, end, start: (s["own"] == 1) & (end <= s["start"]) & (start >= s["stop"])
+
+    def picked(x: Column) -> Column:
+        judged = F.zip_with(F.zip_with(x, ends(x), lambda s, e: F.struct(s.alias("s"), e.alias("e"))), starts(x), lambda y, t: F.struct(y["s"].alias("s"), free(y["s"], y["e"], t).alias("ok")))
+        return F.transform(F.filter(judged, lambda y: y["ok"]), lambda y: F.struct(y["s"]["start"].alias("start"), y["s"]["kind"].alias("kind"), y["s"]["stop"].alias("stop")))
+
+    merged = let(F.sort_array(F.concat(tagged(others, 0), tagged(spans, 1))), picked)
+    return F.when((F.size(spans) == 0) | (F.size(others) == 0), spans).otherwise(merged)
+
+
 def spans(text: Column, pattern: str, kind: int, good: object = None) -> Column:
     """array of (start, kind, stop) of the leftmost non-overlapping matches, in code points.
 
-    What lies between matches is what split() gives, so places are running sums of lengths."""
+    What lies between matches is what split() gives, so places are running sums of lengths.  The work is in proportion
+    to the text, however many matches it has."""
     none = F.array().cast(_SPAN)
 
     def placed(pieces: Column, found: Column) -> Column:
-        steps = F.zip_with(pieces, found, lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("n"), F.coalesce(good(m), F.lit(False)).alias("ok") if good else F.lit(True).alias("ok")))
-        zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
-
-        def step(acc: Column, s: Column) -> Column:
-            start = acc["at"] + s["gap"]
-            one = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + s["n"]).alias("stop")))
-            return F.struct((start + s["n"]).alias("at"), F.when(s["ok"], F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
-
-        return F.aggregate(F.slice(steps, F.lit(1), F.size(found)), zero, step, lambda acc: acc["out"])
+        n = F.transform(found, F.length)
+        gaps = F.slice(F.transform(pieces, F.length), F.lit(1), F.size(found))
+        at = let(running(F.zip_with(gaps, n, lambda g, m: (g + m).cast("bigint")), lambda x, y: x + y), lambda stops: F.zip_with(stops, n, lambda stop, m: F.struct((stop - m).cast("int").alias("start"), F.lit(kind).alias("kind"), stop.cast("int").alias("stop"))))
+        if not good:
+            return at
+        both = F.zip_with(at, found, lambda s, m: F.struct(s.alias("s"), F.coalesce(good(m), F.lit(False)).alias("ok")))
+        return F.transform(F.filter(both, lambda x: x["ok"]), lambda x: x["s"])
 
     return F.when(text.rlike(pattern), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: placed(F.split(text, pattern, -1), m))).otherwise(none)
 
@@ -95,8 +131,8 @@ def scan_secrets(docs: DataFrame, *, scope: int = 200, wide: bool = False) -> Da
     is reported if a secret starts within ``scope`` code points, a key if a name or an access identifier does, and
     an endpoint if both do.  With ``wide``, an endpoint and a secret (a key too) complete each other without a name; runs
     of 16 or more letters and digits are keys beside a name or an access identifier; and the scope counts from the end
-    of one span to the start of the next.  A null text is an empty one; rows of one id and text get equal results; null ids are ids
-    like any other; an empty table gives an empty result.  Only doc_id and text are read, so other columns cannot
+    of one span to the start of the next.  Texts are searched as a whole, however long.  A null text is an empty one; rows of
+    one id and text get equal results; null ids are ids like any other; an empty table gives an empty result.  Only doc_id and text are read, so other columns cannot
     clash."""
     text, none = F.col("_t"), F.array().cast(_SPAN)
     flat = docs.select("doc_id", text_key(F.col("text")).alias("key"), F.coalesce("text", F.lit("")).alias("_t"))
@@ -112,11 +148,10 @@ def scan_secrets(docs: DataFrame, *, scope: int = 200, wide: bool = False) -> Da
     )
     # a candidate inside a base match is no other secret
     base = F.sort_array(F.concat("assign", "access", "hex"))
-    free = lambda c: F.filter(c, lambda s: ~F.exists(F.concat("assign", "access", "hex"), lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
+    free = lambda c: apart(c, F.concat("assign", "access", "hex"))
     scanned = kept(scanned.select("doc_id", "key", base.alias("base"), "assign", "access", "hex", free(F.col("k")).alias("k"), free(F.col("user")).alias("user"), "endpoint", free(F.col("long")).alias("long")))
     if wide:  # what is part of an endpoint or a name is no short key beside it
-        short = F.filter("k", lambda s: ~F.exists(F.concat("user", "endpoint", "long"), lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
-        scanned = scanned.withColumn("short", short).withColumn("k", F.col("long"))
+        scanned = scanned.withColumn("short", apart(F.col("k"), F.concat("user", "endpoint", "long"))).withColumn("k", F.col("long"))
     tagged = lambda c, role, weak: F.transform(F.col(c), lambda s: F.struct(s.alias("span"), F.lit(role).alias("role"), F.lit(weak).alias("weak")))
     keys = [("k", "secret", True), ("short", "short", True)] if wide else [("k", "secret", True)]
     every = F.concat(*[tagged(c, role, weak) for c, role, weak in (("assign", "secret", False), ("hex", "secret", False), ("access", "id", False), *keys, ("user", "id", True), ("endpoint", "end", True))])
