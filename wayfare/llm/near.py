@@ -5,8 +5,12 @@ A text's signature has ``k`` symbols of 16 bits.  Texts at least as similar as t
 the radius differ by one symbol at most in one of them (pigeonhole); for each chunk all allowed errors are enumerated
 by leaving out one symbol at a time, so both texts meet in a bucket.  A pair counts only in the first bucket that it
 shares.  Buckets compare signatures first; then whole sets are compared where signatures are near, and each bucket
-gives a spanning forest of its confirmed links, never all pairs.  Buckets beyond a block's size are compared block by
-block, so no task holds more than two blocks.
+gives a spanning forest of its confirmed links, never all pairs.
+
+A bucket beyond a block's size is first held against pivots: each of its texts is compared with one other text, on whole
+sets.  Texts linked with the same pivot need no further comparison with each other, so only the rest of a bucket is
+compared with all of it, block by block; no task holds more than two blocks.  Work grows with the product of a bucket's
+size and the part of it that the pivot does not link.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -26,7 +30,8 @@ SYMBOLS = 64
 #: Rows of signatures, and shingles, that a block holds at most; a task holds two blocks.
 BLOCK_ROWS, BLOCK_SHINGLES = 4096, 1 << 20
 SMALL = 16
-_GROUP = "key bigint, pair bigint"
+#: A set with more than one row in so many is hot.
+HOT = 2000
 
 
 def radius(k: int, percent: int, miss: float = 1e-5) -> int:
@@ -145,20 +150,58 @@ def signature_table(docs: DataFrame, scheme: Scheme, width: int = 5) -> DataFram
     return sets.mapInArrow(run, "doc_id bigint, text_key bigint, n bigint, h1 bigint, h2 bigint, sig binary")
 
 
-def _dealt(rows: DataFrame, weight: str, most: int) -> DataFrame:
-    """Adds pair and block: each bucket is one block or, beyond ``most``, several, and its rows go to all pairs of them."""
-    total = F.sum(weight).over(Window.partitionBy("key"))
+def _dealt(rows: DataFrame, total: Column, most: int) -> DataFrame:
+    """Adds pair and block: each bucket is one block or, with a ``total`` beyond ``most``, several, and its rows go to all
+    pairs of them."""
     rows = rows.withColumn("_n", F.ceil(total / most).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("_n")).cast("int"))
-    rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    return rows.withColumn("pair", F.least("block", "_o").cast("bigint") * F.lit(1 << 24) + F.greatest("block", "_o")).drop("_n", "_o")
+    return _paired(rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))).drop("_n")
+
+
+def _paired(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("pair", F.least("block", "_o").cast("bigint") * F.lit(1 << 24) + F.greatest("block", "_o")).drop("_o")
+
+
+def _in_blocks(big: DataFrame, labels: DataFrame) -> DataFrame:
+    """Block pairs of large buckets (key, node, m); labels: the pivot that a node is linked with.
+
+    Of a bucket the rows of the most frequent pivot are settled: they go to blocks that are compared with those of the
+    loose rows only, and nowhere if there are no loose rows."""
+    known = big.join(labels, "node", "left")
+    tops = known.filter("label IS NOT NULL").groupBy("key", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"))
+    rows = known.join(tops, "key", "left").withColumn("_linked", F.coalesce(F.col("label") == F.col("top.label"), F.lit(False)))
+    few, many = F.coalesce(F.col("top.c"), F.lit(0)), F.col("m")
+    rows = rows.withColumn("_u", F.ceil((many - few) / BLOCK_ROWS).cast("int")).withColumn("_v", F.ceil(few / BLOCK_ROWS).cast("int"))
+    at = lambda n: F.pmod(F.xxhash64("node"), F.greatest(n, F.lit(1))).cast("int")
+    rows = rows.withColumn("block", F.when(F.col("_linked"), F.col("_u") + at(F.col("_v"))).otherwise(at(F.col("_u"))))
+    last = F.when(F.col("_linked"), F.col("_u")).otherwise(F.col("_u") + F.col("_v")) - 1
+    rows = rows.filter(last >= 0).withColumn("_o", F.explode(F.sequence(F.lit(0), last)))
+    return _paired(rows).select("key", "pair", "block", "node")
+
+
+def _pivot_links(big: DataFrame, shingled: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """(node, label): nodes of large buckets that are linked with the pivot of the largest bucket that they are in, by
+    whole sets; shingled: adds n and s to rows with a node.
+
+    A bucket's pivot is the node with the least hash of those that have it as their largest.  The pivot's set is sent to
+    each block of its nodes, so that no task holds all of them."""
+    home = big.groupBy("node").agg(F.max(F.struct("m", "key")).alias("home")).select("node", F.col("home.key").alias("key"))
+    leads = home.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("lead"), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
+    leads = leads.select(F.col("key").alias("_k"), F.col("lead.node").alias("label"), "blocks")
+    mine = home.join(leads, F.col("key") == F.col("_k")).withColumn("block", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("blocks")).cast("int"))
+    sets = kept(shingled(mine.select("node", "label", "block", "blocks")))  # one row a node
+    pivots = sets.filter("node = label").select(F.col("label").alias("_p"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_b"), F.col("n").alias("pn"), F.col("s").alias("ps"))
+    both = sets.join(pivots.dropDuplicates(["_p", "_b"]), (F.col("label") == F.col("_p")) & (F.col("block") == F.col("_b")))
+    common = F.size(F.array_intersect("s", "ps"))
+    return both.filter(100 * common >= percent * (F.col("n") + F.col("pn") - common)).select("node", "label").distinct()
 
 
 def _gathered(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
     return rows.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(run, schema)
 
 
-def _candidates(nodes: DataFrame, scheme: Scheme) -> DataFrame:
-    """Distinct (key, node): the buckets in which a node first meets another one within the radius."""
+def _candidates(nodes: DataFrame, scheme: Scheme, shingled: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame | None]:
+    """Distinct (key, node): the buckets in which a node first meets another one within the radius; and the links with
+    pivots of large buckets, (node, label)."""
 
     def enumerated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -200,9 +243,15 @@ def _candidates(nodes: DataFrame, scheme: Scheme) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key[hit]), t.column("node").combine_chunks().filter(pa.array(hit))], ["key", "node"])
 
     keyed = nodes.select("node", "sig").mapInArrow(enumerated, "node bigint, keys array<bigint>").select("node", F.explode("keys").alias("key"))
-    met = keyed.withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("_m > 1").select("key", "node", F.lit(1).alias("one"))
-    rows = _dealt(met, "one", BLOCK_ROWS).join(nodes.select("node", "sig"), "node").select("key", "pair", "block", "node", "sig")
-    return _gathered(rows, compared, "key bigint, node bigint").repartition("key").distinct()
+    crowded = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")  # partial counts first, so no key is hot
+    met = kept(keyed.join(crowded, "key").select("key", "node", "m"))
+    small, big, labels = met.filter(F.col("m") <= BLOCK_ROWS), met.filter(F.col("m") > BLOCK_ROWS), None
+    dealt = small.select("key", F.lit(0).cast("bigint").alias("pair"), F.lit(0).alias("block"), "node")
+    if not big.isEmpty():
+        labels = kept(_pivot_links(big, shingled, scheme.percent))
+        dealt = dealt.unionByName(_in_blocks(big, labels))
+    rows = dealt.join(nodes.select("node", "sig"), "node").select("key", "pair", "block", "node", "sig")
+    return _gathered(rows, compared, "key bigint, node bigint").distinct(), labels
 
 
 def _links(cands: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
@@ -247,7 +296,8 @@ def _links(cands: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
     weighed = cands.join(sets.select("node", "n").distinct(), "node")
-    rows = _dealt(weighed, "n", BLOCK_SHINGLES).drop("n").join(sets.select("node", "sig", "s"), "node").select("key", "pair", "block", "node", "sig", "s")
+    totals = weighed.groupBy("key").agg(F.sum("n").alias("total"))
+    rows = _dealt(weighed.join(totals, "key"), F.col("total"), BLOCK_SHINGLES).drop("n", "total").join(sets.select("node", "sig", "s"), "node").select("key", "pair", "block", "node", "sig", "s")
     return _gathered(rows, confirmed, "u bigint, v bigint")
 
 
@@ -258,23 +308,38 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, width: int = 5, k: in
     component_id is the smallest doc_id that links lead to.  A text with fewer words than ``width`` has one shingle;
     a null text, or one without words, has none and is linked with nothing.  Rows with equal sets are linked; rows
     without a doc_id are linked with nothing, have no component and are kept.  An empty table gives an empty result;
-    only doc_id and text are read, so other columns cannot clash."""
+    only doc_id and text are read, so other columns cannot clash.  Texts are taken as a whole; a set of shingles has
+    to fit into a task's memory."""
     scheme = Scheme(k, percent, miss)
     sigs = kept(signature_table(docs, scheme, width))
-    real = sigs.filter(F.col("n").isNotNull() & (F.col("n") > 0) & F.col("doc_id").isNotNull())
-    # equal sets are one node, named by a hash of the set
-    nodes = real.groupBy(F.col("h1").alias("node"), "h2", "n").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
-    nodes = kept(nodes.select("node", "n", "copies", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key"), "sig"))
-    cands = kept(_candidates(nodes, scheme))
-    near = cands.select("node").distinct().join(nodes, "node").select("node", "n", "sig", "rep_id", "rep_key")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("rep_id"), text_key(F.col("text")).alias("rep_key"), "text").join(near, ["rep_id", "rep_key"])
-    sets = kept(texts.select("node", "n", "sig", shingles(space_words(lowered(F.col("text"))), width).alias("s")))
-    roots = components(_links(cands, sets, scheme))
+    real = F.col("n").isNotNull() & (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    # equal sets, by 128 bits and their size, are one node; its number is fixed by the checkpoint
+    nodes = sigs.filter(real).groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
+    nodes = kept(nodes.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "n", "copies", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key"), "sig"))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("rep_id"), text_key(F.col("text")).alias("rep_key"), "text")
+
+    def shingled(rows: DataFrame) -> DataFrame:
+        near = rows.join(nodes.select("node", "n", "sig", "rep_id", "rep_key"), "node")
+        return texts.join(near, ["rep_id", "rep_key"]).select(*rows.columns, "n", "sig", shingles(space_words(lowered(F.col("text"))), width).alias("s"))
+
+    cands, labels = _candidates(nodes, scheme, shingled)
+    cands = kept(cands)
+    sets = kept(shingled(cands.select("node").distinct()))
+    links = _links(cands, sets, scheme)
+    if labels is not None:
+        links = links.unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v")))
+    roots = components(links)
     least = roots.join(nodes.select("node", "rep_id"), "node").groupBy("root").agg(F.min("rep_id").alias("component_id"))
     linked = roots.join(least, "root").select("node", "component_id")
     # only nodes with links or copies are joined back to the rows
-    joined = nodes.join(linked, "node", "left").select(F.col("node").alias("_node"), F.coalesce("component_id", "rep_id").alias("_c"), F.col("copies"), F.col("component_id").isNotNull().alias("_l"))
-    joined = joined.filter(F.col("_l") | (F.col("copies") > 1)).select("_node", "_c")
-    out = sigs.join(joined, (F.col("h1") == F.col("_node")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
-    component = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("_c")), F.col("doc_id"))
-    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    joined = nodes.join(linked, "node", "left").filter("component_id IS NOT NULL OR copies > 1")
+    joined = joined.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("n").alias("_n"), F.coalesce("component_id", "rep_id").alias("component_id"), "copies")
+    # a set with over one row in HOT of all is hot: there are HOT such sets at most, which are broadcast
+    some = nodes.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n")).first().n // HOT
+    same = (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & (F.col("n") == F.col("_n"))
+    hot, rest = joined.filter(F.col("copies") > some), joined.filter(F.col("copies") <= some)
+    columns = ["doc_id", "text_key", "n", "component_id"]
+    cold = sigs.filter(real).join(F.broadcast(hot), same, "left_anti").join(rest, same, "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    out = sigs.filter(real).join(F.broadcast(hot), same).select(*columns).unionByName(cold.select(*columns))
+    out = out.unionByName(sigs.filter(~real).select("doc_id", "text_key", "n", F.col("doc_id").alias("component_id")))
+    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
