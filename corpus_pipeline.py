@@ -6,7 +6,6 @@ brought up to date.  Empty tables give empty results."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,11 +13,11 @@ from pyspark.sql import functions as F
 
 from wayfare.llm import decontaminate, lines, near, pieces, quality
 from wayfare.llm.queries import TOKENIZERS
-from wayfare.llm.text import shared_folder, table, text_key
+from wayfare.llm.text import dropped, scratch, table, text_key
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps what passes the rules; a null or empty text fails them."""
+    """Keeps what passes the rules; a null or empty text fails them.  Repeated rows stay or go together."""
     judged = quality.quality_rules(docs, table(spark, sf_dir, "labels", "doc_id", "quality"), threshold=None)
     return judged.filter("kept").select(*docs.columns)
 
@@ -77,12 +76,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again, and the text decoded from the ids."""
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        if k:
-            docs.write.parquet(f"{folder}/{k}")
-            docs = spark.read.parquet(f"{folder}/{k}")
-        docs = stage(spark, docs, sf_dir)
-    docs.write.parquet(f"{folder}/{len(STAGES)}")
-    return decoded(spark.read.parquet(f"{folder}/{len(STAGES)}"))
+    """All stages over documents, each written to the shared folder and read again, and the text decoded from the ids.
+
+    A stage's rows are deleted once those of the next are written; the last ones stay until the driver ends."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES:
+        folder = scratch(spark, "pipeline")
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        if before:
+            dropped(spark, before)
+        docs, before = spark.read.parquet(folder), folder
+    return decoded(docs)
