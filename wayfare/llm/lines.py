@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .text import SPACES, kept, text_key
 
+#: A line with more than one place in so many is hot.
+HOT = 2000
+
 
 def split_lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
@@ -23,7 +26,7 @@ def _exploded(docs: DataFrame) -> DataFrame:
 
 
 def boilerplate(docs: DataFrame, *, min_sites: int = 10, band: float = 0.3, lg_k: int = 12) -> DataFrame:
-    """(h, first): hashes of the lines on ``min_sites`` distinct sites or more, each with its first place.
+    """(h, first, c): hashes of the lines on ``min_sites`` distinct sites or more, with their first place and count.
 
     A HyperLogLog sketch of the sites of each line is merged by aggregation, so a line that is everywhere costs no
     more than any other.  Where the estimate lies within ``band`` of the threshold (with 2^12 registers that is over
@@ -31,11 +34,11 @@ def boilerplate(docs: DataFrame, *, min_sites: int = 10, band: float = 0.3, lg_k
     at = _exploded(docs)
     spread = at.groupBy("h").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("source", lg_k)).alias("sites"),
-        F.min(F.struct("doc_id", "key", "pos")).alias("first"),
-    )
+        F.min(F.struct("doc_id", "key", "pos")).alias("first"), F.count(F.lit(1)).alias("c"),
+    )
     wide = kept(spread.filter(F.col("sites") >= min_sites * (1 - band)))
-    sure = wide.filter(F.col("sites") > min_sites * (1 + band)).select("h", "first")
-    close = wide.filter(F.col("sites") <= min_sites * (1 + band)).select("h", "first")
+    sure = wide.filter(F.col("sites") > min_sites * (1 + band)).select("h", "first", "c")
+    close = wide.filter(F.col("sites") <= min_sites * (1 + band)).select("h", "first", "c")
     exact = at.filter(F.col("source").isNotNull()).join(close.select("h"), "h", "left_semi").select("h", "source").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     return sure.unionByName(close.join(exact.filter(F.col("n") >= min_sites).select("h"), "h", "left_semi"))
 
@@ -49,7 +52,14 @@ def dedup_lines(docs: DataFrame, *, min_sites: int = 10, band: float = 0.3, lg_k
     Rows of one id and text are treated alike, first places included; an empty table gives an empty result.  Columns
     named n_lines or n_removed are replaced."""
     flagged = kept(boilerplate(docs, min_sites=min_sites, band=band, lg_k=lg_k))
-    at = _exploded(docs).select("doc_id", "key", "pos", "h").join(flagged, "h")
+    # a line with over one place in HOT of all flagged ones is hot: there are HOT such lines at most, which are broadcast;
+    # their places are then dealt by a key of their own
+    some = flagged.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first().n // HOT
+    hot, rest = (flagged.filter(f"c {sign} {some}").select(F.col("h").alias(f"{p}h"), F.col("first").alias(f"{p}f")) for p, sign in (("_x", ">"), ("_y", "<=")))
+    at = _exploded(docs).select("doc_id", "key", "pos", "h").join(F.broadcast(hot), F.col("h") == F.col("_xh"), "left")
+    own = F.struct(F.xxhash64("doc_id", "key", "pos").alias("a"), F.lit(None).cast("bigint").alias("b"))
+    at = at.withColumn("h", F.when(F.col("_xh").isNotNull(), own).otherwise(F.col("h"))).join(rest, F.col("h") == F.col("_yh"), "left")
+    at = at.withColumn("first", F.coalesce("_xf", "_yf")).filter("first IS NOT NULL")
     there = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key")) & (F.col("pos") == F.col("first.pos"))
     gone = at.filter(~there).groupBy("doc_id", "key").agg(F.collect_set("pos").alias("_gone")).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "_gone")
     base = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")]).withColumn("_key", text_key(F.col("text")))
