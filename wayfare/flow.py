@@ -104,25 +104,43 @@ class Order:
 
 class Frame:
     """rid: columns that tell its rows apart; link: pairs of (column above, own column); order: of the rows under one
-    row above; attached: its rows hold the columns of the frame above."""
+    row above; attached: its rows hold the columns of the frame above; source: what it takes its rows from when they are
+    asked for; alone: rows and link before the frame above was attached, and the rows just after."""
 
     def __init__(self, df: DataFrame | Callable[[], DataFrame], up: Frame | None, link: list[tuple[str, str]] | None = None, rid: list[str] | None = None, order: list[Order] | None = None, *, attached: bool = False, joined: dict | None = None):
         self._df, self.up, self.link, self.rid, self.order = df, up, list(link or []), list(rid or []), list(order or [])
         self.attached, self.joined = attached, dict(joined or {})
         self.pending: list[tuple[Frame, list]] = []
+        self.whole: list[list[tuple[str, Column]]] = []
         self.memo: dict[Any, Any] = {}
         self.explicit = False
         self.origin: Frame | None = None
+        self.source: Frame | None = None
+        self.alone: tuple[DataFrame, list[tuple[str, str]], DataFrame] | None = None
 
     @property
     def df(self) -> DataFrame:
         if callable(self._df):  # rows that nobody has asked for yet
             self._df = self._df()
+            if self.source is not None:  # which may have got columns in the meantime
+                self.attached, self.link, self.joined = self.source.attached, list(self.source.link), dict(self.source.joined)
         while self.pending:
             child, aggs = self.pending.pop(0)
             self._df = self._joined(self._df, child.aggregated(aggs), [(a, b) for a, b in child.link])
+        while self.whole:
+            level = self.whole.pop(0)
+            self._df = self._df.crossJoin(F.broadcast(self._df.agg(*[c.alias(n) for n, c in level])))  # one row
         return self._df
 
+    def total(self, col: Column) -> Column:
+        """An aggregate over all rows, beside each of them; all that don't need one another are made at once."""
+        name, text = fresh("w"), str(col)
+        level = max((i + 1 for i, made in enumerate(self.whole) if any(n in text for n, _ in made)), default=0)
+        if level == len(self.whole):
+            self.whole.append([])
+        self.whole[level].append((name, col))
+        return F.col(name)
+
     @property
     def waiting(self) -> bool:
         return callable(self._df)
@@ -162,11 +180,11 @@ class Frame:
             return df.select(*own).distinct()
         return df.groupBy(*own).agg(*made) if own else df.agg(*made)
 
-    def aggregate(self, make: Callable[[Column | None], Column], cond: tuple[Column, ...]) -> Column:
+    def aggregate(self, make: Callable[[Column | None], Column], cond: tuple[Column, ...], name: str | None = None) -> Column:
         """Registers an aggregate over this frame's rows with the frame above; gives its column there."""
         if self.origin is not None and self.up.waiting:  # the rows above are yet to be chosen from those of the origin
-            return self.origin.aggregate(make, cond)
-        name = fresh("a")
+            return self.origin.aggregate(make, cond, name)
+        name = name or fresh("a")
         for child, aggs in self.up.pending:
             if child is self:
                 aggs.append((name, make, both(cond)))
@@ -185,21 +203,23 @@ class Frame:
         """A frame with other rows or another order but the same columns."""
         out = Frame(df, self.up, self.link, self.rid, self.order, attached=self.attached, joined=self.joined)
         out.explicit = self.explicit
+        out.source = self if callable(df) else None
         for k, v in changes.items():
             setattr(out, k, v)
         return out
 
     def attach(self) -> Frame:
         """Joins the columns of the frame above, so that names bound there can be used here."""
+        own = self.df
         if not self.attached and self.up is not None:
-            above, own = self.up.df, self.df
+            above, link = self.up.df, list(self.link)
             if not self.link:
                 self.df = F.broadcast(above).crossJoin(own) if self.up.up is None and not self.up.rid else above.crossJoin(own)
             else:
                 self.df = above.join(own, both(tuple(F.col(a).eqNullSafe(F.col(b)) if b.startswith("key_") else F.col(a) == F.col(b) for a, b in self.link)))
             if self.link and not set(self.up.rid) <= {a for a, _ in self.link}:
                 self.link = [(r, r) for r in self.up.rid]  # rows above that share a link are told apart now
-            self.attached = True
+            self.attached, self.alone = True, (own, link, self.df)
         return self
 
     def reach(self, target: Frame) -> None:

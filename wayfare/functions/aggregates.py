@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..compiler import Compiler, Scope, rule
 from ..flow import Flow, Val, both
-from ..operators.windows import kept, window
+from ..operators.windows import over
 from ..syntax import Call, QueryError
 
 
@@ -90,20 +90,27 @@ def _aggregate(c: Compiler, s: Scope, args: tuple, name: str) -> Val:
 
 
 def _over(c: Compiler, q: Flow, a: Aggregate, x: Column, v: Val, name: str) -> Val:
-    w = window(q)
     k = both(q.cond)
     x = F.when(k, x) if k is not None else x
-    if q.span.name == "around":  # all but the row itself
-        own = F.coalesce(x if name == "sum" else F.when(x.isNotNull(), 1).otherwise(0), F.lit(0))
-        if name in ("count", "exists", "sum"):
-            return _result(a, v, kept(q, F.coalesce(a.make(x).over(w), F.lit(0)) - own), name)
-        total = F.collect_list(x).over(w)
-        rest = F.array_except(total, F.array(x)) if name in ("any", "all") else F.concat(F.filter(total, lambda y: y != x), F.array_repeat(x, F.size(F.filter(total, lambda y: y == x)) - 1))
-        by = {"max": F.array_max, "min": F.array_min, "mean": lambda y: F.aggregate(y, F.lit(0.0), lambda p, z: p + z) / F.when(F.size(y) > 0, F.size(y))}
-        if name not in by:
-            raise QueryError(f"{name}(around) is not defined; use and_around")
-        return _result(a, v, kept(q, by[name](F.when(x.isNotNull(), rest).otherwise(total))), name)
-    return _result(a, v, kept(q, a.make(x).over(w)), name)
+    if q.span.name != "around":
+        return _result(a, v, over(q, a.make(x)), name)
+    # all but the row itself
+    there = F.when(x.isNotNull(), 1).otherwise(0)
+    if name in ("count", "exists", "sum"):
+        return _result(a, v, F.coalesce(over(q, a.make(x)), F.lit(0)) - F.coalesce(x if name == "sum" else there, F.lit(0)), name)
+    n = over(q, F.count(x)) - there
+    if name == "mean":
+        total = over(q, F.sum(x)) - F.coalesce(x, F.lit(0))
+        return _result(a, v, F.when(n > 0, total.cast("double") / n), name)
+    if name in ("any", "all"):
+        hits = over(q, F.count(F.when(x if name == "any" else ~x, 1))) - F.when(x if name == "any" else ~x, 1).otherwise(0)
+        return Val("bool", hits > 0 if name == "any" else hits == 0)
+    if name not in ("max", "min"):
+        raise QueryError(f"{name}(around) is not defined; use and_around")
+    # the best, how often it is there, and the next best
+    best = over(q, a.make(x))
+    often, second = over(q, F.count(F.when(x == best, 1))), over(q, a.make(F.when(x != best, x)))
+    return _result(a, v, F.when(x.isNull() | (x != best) | (often > 1), best).otherwise(second), name)
 
 
 __all__ = ["AGGREGATES", "define_aggregate"]

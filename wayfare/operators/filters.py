@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..compiler import Compiler, Scope, rule
+from ..compiler import Bound, Compiler, Scope, rule
 from ..flow import Flow, Val, both, settled
 from ..syntax import Call, Compose, Lit, Named, QueryError
+from .navigate import bound
 from .windows import SPANS
 
 
@@ -41,31 +43,70 @@ def filtered(c: Compiler, s: Scope, args: tuple) -> Val | Flow:
         return out
     if q.cond and _mentions(args[1], SPANS | set(q.val.defs)):
         q = settled(q)
-    for tree in _conjuncts(args[1]):
-        negated = isinstance(tree, Call) and tree.name == "!"
-        inner = tree.args[0] if negated else tree
-        if isinstance(inner, Call) and inner.name in ("exists", "any") and len(inner.args) == 1 and q.span is None:
-            x = c.compile(inner.args[0], s.at(q.frame, q.val))
-            if isinstance(x, Flow) and x.span is None and x.frame.up is q.frame and x.frame.link:
-                q = _semi(q, x, inner.name, negated)
-                continue
-        p = c.compile(tree, s.at(q.frame, q.val))
+    return _conditions(c, s.at(q.frame, q.val), q, args[1])
+
+
+def _conditions(c: Compiler, s: Scope, q: Flow, tree: object) -> Flow:
+    """The flow with the conjuncts of a condition applied; s: the scope within it, whose names given may have bound."""
+    for part in _conjuncts(tree):
+        if s.frame is not q.frame:  # the rows left by a test have the columns that names were bound to
+            s = Scope(q.frame, s.focus, {n: Bound(q.frame, b.value) if b.frame is s.frame and isinstance(b.value, Val) else b for n, b in s.env.items()}, s.border)
+        if isinstance(part, Call) and part.name == "given" and part.args:
+            q = _conditions(c, bound(c, s, part.args[1:]), q, part.args[0])
+            continue
+        negated = isinstance(part, Call) and part.name == "!"
+        inner = part.args[0] if negated else part
+        known = _known(c, s, q, inner, negated) if isinstance(inner, Call) and q.span is None else None
+        if known is not None:
+            q = known
+            continue
+        p = c.compile(part, s)
         if isinstance(p, Flow):
-            raise QueryError(f"the condition {tree} has many values")
+            raise QueryError(f"the condition {part} has many values")
         if p.kind not in ("bool", "null"):
-            raise QueryError(f"the condition {tree} is neither true nor false")
+            raise QueryError(f"the condition {part} is neither true nor false")
         q = replace(q, cond=(*q.cond, p.col))
     return q
 
 
-def _semi(q: Flow, x: Flow, name: str, negated: bool) -> Flow:
-    conds = (*x.cond, x.val.col) if name == "any" else (*x.cond, x.val.present()) if x.val.optional else x.cond
-    right = x.frame.df.filter(both(conds)) if conds else x.frame.df
-    names = {b: f"{b}_s" for _, b in x.frame.link}
-    right = right.select(*[F.col(b).alias(n) for b, n in names.items()])
-    on = both(tuple(F.col(a).eqNullSafe(F.col(names[b])) if b.startswith("key_") else F.col(a) == F.col(names[b]) for a, b in x.frame.link))
+def _known(c: Compiler, s: Scope, q: Flow, tree: Call, negated: bool) -> Flow | None:
+    """The flow with a test of existence or membership as a semi or anti join, where that can be said so."""
+    if tree.name in ("exists", "any") and len(tree.args) == 1:
+        x = c.compile(tree.args[0], s)
+        if isinstance(x, Flow) and x.span is None and x.frame.up is q.frame and x.frame.link:
+            return _semi(q, x, (x.val.col,) if tree.name == "any" else (x.val.present(),) if x.val.optional else (), negated)
+    if tree.name == "in" and len(tree.args) == 2 and not _listed(s, tree.args[1]):
+        x, many = c.compile(tree.args[0], s), c.compile(tree.args[1], s)
+        if isinstance(x, Val) and isinstance(many, Flow) and many.span is None and many.frame.up is q.frame and not many.frame.attached and len(many.val.keys()) == 1 and x.kind != "record":
+            mine = F.col(x.ids[0]) if x.cls else x.col
+            q = replace(q, cond=(*q.cond, mine.isNotNull())) if x.optional else q
+            return _semi(q, many, (mine == many.val.keys()[0],), negated)
+    return None
+
+
+def _listed(s: Scope, tree: object) -> bool:
+    """Whether the values are given one by one."""
+    if isinstance(tree, Call) and tree.name in s.env and isinstance(s.env[tree.name].value, Call):
+        tree = s.env[tree.name].value
+    return isinstance(tree, Call) and tree.name == "array" and all(isinstance(a, Lit) for a in tree.args)
+
+
+def _semi(q: Flow, x: Flow, more: tuple[Column, ...], negated: bool) -> Flow:
+    """The rows of q for which some row of x fulfils its conditions and some more, which may name columns of both."""
+    rows, link, conds = x.frame.df, x.frame.link, (*x.cond, *more)
+    if x.frame.attached and x.frame.alone is not None and x.frame.alone[2] is rows:  # nothing was added since: not needed twice
+        rows, link, _ = x.frame.alone
     left = q.frame.df.filter(both(q.cond)) if q.cond else q.frame.df
-    return Flow(q.frame.derive(left.join(right, on, "left_anti" if negated else "left_semi")), q.val)
+    if x.frame.attached and rows is x.frame.df:
+        names = {b: f"{b}_s" for _, b in link}
+        rows = rows.filter(both(conds)) if conds else rows
+        rows, link, conds = rows.select(*[F.col(b).alias(n) for b, n in names.items()]), [(a, names[b]) for a, b in link], ()
+    equal = [F.col(a).eqNullSafe(F.col(b)) if b.startswith("key_") else F.col(a) == F.col(b) for a, b in link]
+    clash = set(left.columns) & set(rows.columns)
+    if clash:
+        raise QueryError(f"{sorted(clash)} stand on both sides of a test")
+    on = both((*equal, *conds))
+    return Flow(q.frame.derive(left.join(rows, on if on is not None else F.lit(True), "left_anti" if negated else "left_semi")), q.val)
 
 
 @rule("in")
@@ -78,7 +119,7 @@ def member(c: Compiler, s: Scope, args: tuple) -> Val | Flow:
     tree = args[1]
     if isinstance(tree, Call) and tree.name in s.env and isinstance(s.env[tree.name].value, Call):
         tree = s.env[tree.name].value
-    if isinstance(tree, Call) and tree.name == "array" and all(isinstance(a, Lit) for a in tree.args):
+    if _listed(s, tree):
         return Val("bool", x.col.isin([a.value for a in tree.args]), x.optional)
     many = c.compile(tree, s)
     if isinstance(many, Val):

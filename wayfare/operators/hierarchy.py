@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..compiler import Compiler, Scope, rule
 from ..flow import Flow, Frame, Order, Val, fresh, scan, settled
 from ..syntax import QueryError
 
-#: Longer chains are taken for cycles: the query fails.
-DEPTH = 1000
+#: Steps that the engine is told to allow: what ends a walk is the end of its chain, or a cycle, which is an error.
+STEPS = 2**31 - 1
 
 
 def _edges(c: Compiler, focus: Val, tree: object) -> DataFrame:
@@ -31,23 +31,34 @@ def _edges(c: Compiler, focus: Val, tree: object) -> DataFrame:
     return df.select(F.col(base.val.ids[0]).alias("src"), F.col(val.ids[0]).alias("dst")).filter("src IS NOT NULL AND dst IS NOT NULL")
 
 
-def _walk(spark: object, edges: DataFrame, starts: str, step: str) -> DataFrame:
-    """A recursive query over the view of edges, without a limit on rows."""
-    view = fresh("edges")
-    edges.createOrReplaceTempView(view)
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    return spark.sql(f"WITH RECURSIVE walk(start, node, level, path) MAX RECURSION LEVEL {DEPTH} AS ({starts.format(e=view)} UNION ALL {step.format(e=view)}) SELECT * FROM walk")
+def _walk(spark: SparkSession, tables: dict[str, DataFrame], starts: str, step: str) -> DataFrame:
+    """A recursive query over some tables, without limits on rows and steps."""
+    views = {n: fresh(n) for n in tables}
+    for n, df in tables.items():
+        df.createOrReplaceTempView(views[n])
+    try:
+        return spark.sql(f"WITH RECURSIVE walk(start, node, level, path) MAX RECURSION LEVEL {STEPS} AS ({starts.format(**views)} UNION ALL {step.format(**views)}) SELECT * FROM walk LIMIT ALL")
+    finally:
+        for v in views.values():
+            spark.catalog.dropTempView(v)
 
 
-def _closure(c: Compiler, focus: Val, tree: object) -> DataFrame:
-    return _walk(c.catalog.spark, _edges(c, focus, tree), "SELECT src, dst, 1L, array(dst) FROM {e}", "SELECT start, dst, level + 1, concat(path, array(dst)) FROM walk JOIN {e} ON node = src")
+def _closure(c: Compiler, s: Scope, tree: object) -> DataFrame:
+    """(start, node, level, path) of all that the rows in focus lead to; one that leads to itself is an error."""
+    own = s.frame.df.select(F.col(s.focus.ids[0]).alias("id")).filter("id IS NOT NULL").distinct()
+    again = "IF(array_contains(path, dst) OR dst = start, raise_error(concat('a cycle at ', CAST(dst AS STRING))), dst)"
+    return _walk(
+        c.catalog.spark, {"edges": _edges(c, s.focus, tree), "own": own},
+        "SELECT src, IF(src = dst, raise_error(concat('a cycle at ', CAST(dst AS STRING))), dst), 1L, array(dst) FROM {own} JOIN {edges} ON id = src",
+        f"SELECT start, {again}, level + 1, concat(path, array(dst)) FROM walk JOIN {{edges}} ON node = src",
+    )
 
 
 @rule("connect", "and_connect")
 def connect(c: Compiler, s: Scope, args: tuple, name: str) -> Flow:
     """All that the link leads to in one step or more (and_: the start too), each followed by what it leads to."""
     focus = s.focus
-    df = _closure(c, focus, args[0])
+    df = _closure(c, s, args[0])
     if name == "and_connect":
         own = focus.cls.df.select(F.col(focus.cls.key[0]).alias("start"))
         df = df.unionByName(own.select("start", F.col("start").alias("node"), F.lit(0).cast("bigint").alias("level"), F.array().cast(df.schema["path"].dataType).alias("path")))
@@ -59,7 +70,7 @@ def connect(c: Compiler, s: Scope, args: tuple, name: str) -> Flow:
 @rule("depth")
 def depth(c: Compiler, s: Scope, args: tuple) -> Val:
     """How many steps the link leads at most."""
-    df = _closure(c, s.focus, args[0]).groupBy("start").agg(F.max("level").alias("level"))
+    df = _closure(c, s, args[0]).groupBy("start").agg(F.max("level").alias("level"))
     start, level = fresh("k"), fresh("c")
     frame = Frame(df.select(F.col("start").alias(start), F.col("level").alias(level)), s.frame, [(s.focus.ids[0], start)])
     return Val("int", F.coalesce(frame.aggregate(lambda k: F.max(level), ()), F.lit(0).cast("bigint")))
@@ -81,7 +92,7 @@ def sort_connect(c: Compiler, s: Scope, args: tuple) -> Flow:
     rows = numbered.select(F.col(q.val.ids[0]).alias("id"), F.col(v.ids[0]).alias("parent"), F.col(n).alias("n"))
     known = rows.select(F.col("id").alias("known"))
     edges = rows.join(known, F.col("parent") == F.col("known"), "left").select("id", F.col("known").alias("parent"), "n")
-    walk = _walk(c.catalog.spark, edges, "SELECT id, id, 1L, array(n) FROM {e} WHERE parent IS NULL", "SELECT walk.start, e.id, level + 1, concat(path, array(e.n)) FROM walk JOIN {e} e ON e.parent = walk.node")
+    walk = _walk(c.catalog.spark, {"edges": edges}, "SELECT id, id, 1L, array(n) FROM {edges} WHERE parent IS NULL", "SELECT walk.start, e.id, level + 1, concat(path, array(e.n)) FROM walk JOIN {edges} e ON e.parent = walk.node")
     node, path = fresh("k"), fresh("path")
     df = q.frame.df.join(walk.select(F.col("node").alias(node), F.col("path").alias(path)), F.col(q.val.ids[0]) == F.col(node)).drop(node)
     frame = q.frame.derive(df, order=[Order(F.col(path))])

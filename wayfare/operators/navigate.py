@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
 
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DataType, DateType, DecimalType, FractionalType, IntegralType, TimestampType
 
 from ..compiler import Bound, Compiler, Scope, bare, rule
 from ..flow import Flow, Order, Val, fresh, settled
@@ -110,11 +113,10 @@ def define(c: Compiler, s: Scope, args: tuple) -> Val | Flow:
     return replace(q, val=out) if isinstance(q, Flow) else out
 
 
-@rule("given")
-def given(c: Compiler, s: Scope, args: tuple) -> Val | Flow:
-    """Binds names to values at the query's input; they can be used anywhere in the query.  Later ones see earlier."""
+def bound(c: Compiler, s: Scope, bindings: tuple) -> Scope:
+    """The scope with names bound to values at its input; later ones see earlier."""
     env = dict(s.env)
-    for a in args[1:]:
+    for a in bindings:
         if not isinstance(a, Named):
             raise QueryError(f"given needs a name for {a}")
         v = c.compile(a.query, Scope(s.frame, s.focus, env, s.border))
@@ -123,7 +125,13 @@ def given(c: Compiler, s: Scope, args: tuple) -> Val | Flow:
             s.frame.df = s.frame.df.withColumn(name, v.col)
             v = replace(v, col=F.col(name))
         env = {**env, a.name: Bound(s.frame, v)}
-    return c.compile(args[0], Scope(s.frame, s.focus, env, s.border))
+    return Scope(s.frame, s.focus, env, s.border)
+
+
+@rule("given")
+def given(c: Compiler, s: Scope, args: tuple) -> Val | Flow:
+    """Binds names to values at the query's input; they can be used anywhere in the query.  Later ones see earlier."""
+    return c.compile(args[0], bound(c, s, args[1:]))
 
 
 @rule("as")
@@ -154,6 +162,10 @@ def get(c: Compiler, s: Scope, args: tuple) -> Val | Flow:
 
 def pick(c: Compiler, s: Scope, flow: Flow, orders: list | None = None, *, flip: bool = False) -> Val:
     """The first row under each row above, as an optional value of the frame above."""
+    if flow.frame.link and not flow.frame.attached and flow.frame.up is s.frame and flow.val.kind != "record":
+        rank = ranked(flow.frame.df, orders or flow.frame.orders(), flip)
+        if rank is not None:
+            return _least(s, flow, *rank)
     flow = settled(flow)
     f = flow.frame
     if not f.attached and f.rid and f.rid[0] in s.frame.df.columns:  # picked from before, by another order
@@ -186,6 +198,63 @@ def pick(c: Compiler, s: Scope, flow: Flow, orders: list | None = None, *, flip:
     return optional(flow.val)
 
 
+def ranked(df: DataFrame, orders: list[Order], flip: bool) -> tuple[Callable[[Column, Column], Column], Column] | None:
+    """An aggregate (min_by or max_by) and a struct by which it finds the first row; none where a text has to be turned
+    round beside another that has not."""
+    kinds = [f.dataType for f in df.select(*[o.col.alias(f"o{i}") for i, o in enumerate(orders)]).schema.fields]
+    nullable = [f.nullable for f in df.select(*[o.col.alias(f"o{i}") for i, o in enumerate(orders)]).schema.fields]
+    for pick_one, turned in ((F.min_by, False), (F.max_by, True)):
+        parts = []
+        for o, kind, may in zip(orders, kinds, nullable, strict=True):
+            down, last = (o.desc != flip) != turned, (o.nulls_last != flip) != turned
+            if may:
+                parts.append(o.col.isNull() if last else o.col.isNotNull())
+            value = _turned(o.col, kind) if down else [o.col]
+            if value is None:
+                break
+            parts += value
+        else:
+            return pick_one, F.struct(*[p.alias(f"o{i}") for i, p in enumerate(parts)])
+    return None
+
+
+def _turned(col: Column, kind: DataType) -> list[Column] | None:
+    """Values that ascend where the column descends."""
+    if isinstance(kind, IntegralType):
+        return [F.bitwise_not(col)]
+    if isinstance(kind, DecimalType):
+        return [-col]
+    if isinstance(kind, FractionalType):  # what is no number comes after all numbers
+        return [~F.isnan(col), -col]
+    if isinstance(kind, DateType):
+        return [F.bitwise_not(F.unix_date(col))]
+    if isinstance(kind, TimestampType):
+        return [F.bitwise_not(F.unix_micros(col))]
+    return [~col] if isinstance(kind, BooleanType) else None
+
+
+def _least(s: Scope, flow: Flow, pick_one: Callable, key: Column) -> Val:
+    """The values of the first row by one aggregate for each column, in the grouping that all aggregates of the child
+    share; columns that nobody uses are left out of the plan."""
+    f, v = flow.frame, flow.val
+    one = lambda col, name=None: f.aggregate(lambda k: pick_one(col, F.when(k, key) if k is not None else key), flow.cond, name)
+    if not v.cls:
+        return replace(v, col=one(v.col), optional=True)
+    names = {}
+
+    def named(name: str) -> str:
+        if name not in names:
+            names[name] = fresh("f")
+            one(F.col(name), names[name])
+        return names[name]
+
+    ids = tuple(named(i) for i in v.ids)
+    for (cls, own), cols in f.joined.items():
+        if own == v.ids:
+            s.frame.joined[(cls, ids)] = {c: named(n) for c, n in cols.items()}
+    return replace(v, ids=ids, optional=True)
+
+
 def optional(v: Val) -> Val:
     if v.kind == "record":
         return replace(v, optional=True, base=optional(v.base) if v.base is not None else None, fields={k: optional(x) if isinstance(x, Val) else x for k, x in v.fields.items()})

@@ -53,6 +53,9 @@ def part(c: Compiler, s: Scope, args: tuple, name: str) -> Flow:
         k = _number(args[1])
         if k is not None:
             return Flow(_cut(f, k, name), q.val)
+    if s.frame is c.root and not f.own():  # one number for the whole query: asked for first, so that a limit can use it
+        k = s.frame.df.select(n.col.alias("n")).first().n
+        return q if k is None else Flow(_cut(f, k, name), q.val)
     if not n.const:
         f.reach(s.frame)
     rn, total = fresh("n"), fresh("n")
@@ -95,14 +98,13 @@ def first(c: Compiler, s: Scope, args: tuple, name: str) -> Val:
         return optional(q)
     if q.span is not None:
         return _neighbour(c, q, name, args[1:], s)
-    q = settled(q)
     if len(args) == 1:
         return pick(c, s, q, flip=(name == "last") != q.val.desc)
     if len(args) != 2:
         raise QueryError(f"{name} takes one key")
     k = c.val(args[1], s.at(q.frame, q.val), "a key")
     if k.optional:
-        q = Flow(q.frame.derive(q.frame.df.filter(k.present())), q.val)
+        q = replace(q, cond=(*q.cond, k.present()))
     down = (name == "first") != k.desc
     return pick(c, s, q, [*[Order(x, down) for x in k.keys()], *q.frame.orders()])
 

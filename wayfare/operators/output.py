@@ -58,15 +58,19 @@ def _array(c: Compiler, s: Scope, v: Flow) -> Column:
 
 
 def _span(c: Compiler, s: Scope, v: Flow) -> Column:
-    from .windows import window
+    """The neighbours' values in their order; before: the nearest first."""
+    from .windows import kept, place, window
 
-    w = window(v)
-    value = column(c, s, v.val)
+    value, n = kept(v, column(c, s, v.val)), place(v)
     k = both(v.cond)
-    made = F.collect_list(F.when(k, value) if k is not None else value).over(w)
+    item = F.struct(n.alias("n"), value.alias("v"))
+    made = F.array_sort(kept(v, F.collect_list(F.when(k, item) if k is not None else item).over(window(v))))
     if v.span.name == "around":
-        raise QueryError("around can only be aggregated; use and_around")
-    return F.reverse(made) if v.span.name in ("before", "and_before") and c.dialect == "v1" else made
+        made = F.filter(made, lambda x: x["n"] != n)
+    values = F.transform(made, lambda x: x["v"])
+    if v.val.optional and not v.val.cls and v.val.kind != "record":
+        values = F.filter(values, lambda x: x.isNotNull())
+    return F.reverse(values) if v.span.name in ("before", "and_before") and c.dialect == "v1" else values
 
 
 def table(c: Compiler, v: Val | Flow) -> DataFrame:

@@ -12,40 +12,48 @@ from ..flow import Flow, Frame, Order, Val, both, fresh
 from ..syntax import QueryError
 
 
-def _arm(s: Scope, v: Val | Flow, names: list[str], rids: list[str], n: int, cond: Column | None) -> DataFrame:
-    """Rows of (keys of the row above, arm, place, value columns) of one argument."""
+def _arm(s: Scope, v: Val | Flow, names: list[str], rids: list[str], arm: str, n: int, cond: Column | None) -> tuple[DataFrame, list[Order]]:
+    """Rows of one argument: keys of the row above, number of the argument, columns of its own order, and values; and
+    that order."""
     val = v.val if isinstance(v, Flow) else v
     cols = [F.col(i) for i in val.ids] if val.cls else [val.col]
+    orders: list[tuple[str, Order]] = []
     if isinstance(v, Flow):
         v.frame.reach(s.frame)
         conds = tuple(x for x in (*v.cond, cond) if x is not None)
         df = v.frame.df.filter(both(conds)) if conds else v.frame.df
-        place = F.struct(*[o.col.alias(f"p{i}") for i, o in enumerate(v.frame.orders())]) if v.frame.orders() else F.lit(0)
-        place = F.to_json(place).alias("_place") if v.frame.orders() else F.lit("").alias("_place")
+        orders = [(fresh("key"), o) for o in v.frame.orders()]
     else:
         conds = tuple(x for x in (val.present() if val.optional else None, cond) if x is not None)
         df = s.frame.df.filter(both(conds)) if conds else s.frame.df
-        place = F.lit("").alias("_place")
-    return df.select(*[F.col(r).alias(k) for r, k in zip(s.frame.rid, rids, strict=True)], F.lit(n).alias("_arm"), place, *[x.alias(m) for x, m in zip(cols, names, strict=True)])
+    df = df.select(*[F.col(r).alias(k) for r, k in zip(s.frame.rid, rids, strict=True)], F.lit(n).alias(arm), *[o.col.alias(k) for k, o in orders], *[x.alias(m) for x, m in zip(cols, names, strict=True)])
+    return df, [Order(F.col(k), o.desc, o.nulls_last) for k, o in orders]
+
+
+def _stacked(s: Scope, values: list[Val | Flow], names: list[list[str]], rids: list[str], conds: list[Column | None]) -> tuple[Frame, str]:
+    """The arguments' rows, one's after the other's; columns of an argument's order are null for the others'."""
+    arm, df, orders = fresh("arm"), None, []
+    for n, v in enumerate(values):
+        one, own = _arm(s, v, names[n], rids, arm, n, conds[n])
+        df = one if df is None else df.unionByName(one, allowMissingColumns=True)
+        orders += own
+    every = list(dict.fromkeys(x for own in names for x in own))
+    frame = Frame(df, s.frame, list(zip(s.frame.rid, rids, strict=True)), [*rids, arm, *[c for c in df.columns if c not in (*rids, arm, *every)], *every], [Order(F.col(arm)), *orders])
+    frame.explicit = any(isinstance(v, Flow) and v.frame.explicit for v in values)
+    return frame, arm
 
 
 def merged(c: Compiler, s: Scope, values: list[Val | Flow], conds: list[Column | None] | None = None) -> Flow:
-    """All values of several queries under each row above, one query's after the other's."""
+    """All values of several queries under each row above, one query's after the other's, each in its own order."""
     vals = [v.val if isinstance(v, Flow) else v for v in values]
     if not vals or any(v.kind == "record" for v in vals):
         raise QueryError("plain values are needed")
     if len({v.cls.name if v.cls else v.kind for v in vals if v.kind != "null"}) > 1:
         raise QueryError("values of one type are needed")
     model = next((v for v in vals if v.kind != "null"), vals[0])
-    names = [fresh("v") for _ in (model.ids or [0])]
-    rids = [fresh("k") for _ in s.frame.rid]
-    arms = [_arm(s, v, names, rids, n, conds[n] if conds else None) for n, v in enumerate(values) if (v.val if isinstance(v, Flow) else v).kind != "null"]
-    df = arms[0]
-    for other in arms[1:]:
-        df = df.unionByName(other)
-    arm, place = fresh("arm"), fresh("place")
-    df = df.withColumnRenamed("_arm", arm).withColumnRenamed("_place", place)
-    frame = Frame(df, s.frame, list(zip(s.frame.rid, rids, strict=True)), [*rids, arm, place, *names], [Order(F.col(arm)), Order(F.col(place))])
+    names = [fresh("key") for _ in (model.ids or [0])]
+    arms = [(v, conds[n] if conds else None) for n, v in enumerate(values) if (v.val if isinstance(v, Flow) else v).kind != "null"] or [(values[0], None)]
+    frame, _ = _stacked(s, [v for v, _ in arms], [names] * len(arms), [fresh("k") for _ in s.frame.rid], [k for _, k in arms])
     val = replace(model, ids=tuple(names), optional=False) if model.cls else replace(model, col=F.col(names[0]), optional=False, const=False)
     return Flow(frame, val)
 
@@ -63,21 +71,16 @@ def pack(c: Compiler, s: Scope, args: tuple) -> Flow:
     tags = [(v.val if isinstance(v, Flow) else v).tag or f"_{n + 1}" for n, v in enumerate(arms)]
     if len(set(tags)) < len(tags):
         raise QueryError("pack needs different names")
-    rids = [fresh("k") for _ in s.frame.rid]
-    df, fields, every = None, {}, []
-    for n, (v, tag) in enumerate(zip(arms, tags, strict=True)):
+    names, fields = [], {}
+    for v, tag in zip(arms, tags, strict=True):
         val = v.val if isinstance(v, Flow) else v
         if val.kind == "record":
             raise QueryError("pack needs plain values")
-        names = [fresh("v") for _ in (val.ids or [0])]
-        every += names
-        one = _arm(s, v, names, rids, n, None)
-        df = one if df is None else df.unionByName(one, allowMissingColumns=True)
-        fields[tag] = replace(val, ids=tuple(names), optional=True, const=False) if val.cls else replace(val, col=F.col(names[0]), optional=True, const=False)
-    arm, place = fresh("arm"), fresh("place")
-    df = df.withColumnRenamed("_arm", arm).withColumnRenamed("_place", place)
+        own = [fresh("key") for _ in (val.ids or [0])]
+        names.append(own)
+        fields[tag] = replace(val, ids=tuple(own), optional=True, const=False) if val.cls else replace(val, col=F.col(own[0]), optional=True, const=False)
+    frame, arm = _stacked(s, arms, names, [fresh("k") for _ in s.frame.rid], [None] * len(arms))
     names_of = F.element_at(F.array(*[F.lit(t) for t in tags]), F.col(arm) + 1)
-    frame = Frame(df, s.frame, list(zip(s.frame.rid, rids, strict=True)), [*rids, arm, place, *every], [Order(F.col(arm)), Order(F.col(place))])
     return Flow(frame, Val("record", fields={"tag": Val("str", names_of), **fields}))
 
 

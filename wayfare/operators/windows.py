@@ -60,3 +60,21 @@ def window(flow: Flow) -> WindowSpec:
     w = w.orderBy(*[o.sort() for o in orders])
     ends = {"before": (Window.unboundedPreceding, -1), "and_before": (Window.unboundedPreceding, 0), "after": (1, Window.unboundedFollowing), "and_after": (0, Window.unboundedFollowing)}
     return w.rowsBetween(*ends[span.name])
+
+
+def over(flow: Flow, col: Column) -> Column:
+    """An aggregate over a span, kept with the frame's rows.
+
+    Over all rows of the frame it is one number: aggregated by itself and sent to the rows, not a window, which would
+    bring them to one task."""
+    own, _ = _borders(flow.frame, getattr(flow.span, "border", None))
+    if own or flow.span.keys or not flow.span.name.endswith("around"):
+        return kept(flow, col.over(window(flow)))
+    return flow.frame.total(col)
+
+
+def place(flow: Flow) -> Column:
+    """The number of each row among those of its span, in their order."""
+    own, orders = _borders(flow.frame, getattr(flow.span, "border", None))
+    by = [o.sort() for o in orders] or [F.lit(0)]
+    return kept(flow, F.row_number().over(Window.partitionBy(*own, *flow.span.keys).orderBy(*by)))
