@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..compiler import Compiler, Scope, rule
 from ..flow import Flow, Frame, Order, Val, both, fresh, settled
 from ..syntax import QueryError
-from .navigate import optional
+from .navigate import optional, ranked
 
 
 def _with_keys(f: Frame, keys: list[Val]) -> tuple[list[tuple[str, ...]], list[Val]]:
@@ -53,7 +53,7 @@ def _total_last(gid: str, i: int) -> Order:
     return Order(F.col(gid).bitwiseAND(F.lit(1 << i)) != 0)
 
 
-def _grouped(s: Scope, q: Flow, keys: list[Val], masks: list[tuple[bool, ...]] | None) -> Flow:
+def _grouped(c: Compiler, s: Scope, q: Flow, keys: list[Val], masks: list[tuple[bool, ...]] | None) -> Flow:
     names, vals = _with_keys(q.frame, keys)
     df, gid = q.frame.df, None
     if masks:
@@ -68,9 +68,13 @@ def _grouped(s: Scope, q: Flow, keys: list[Val], masks: list[tuple[bool, ...]] |
     def rows() -> DataFrame:
         aggs = [x for child, todo in group.pending if child is members for x in todo]
         group.pending = [p for p in group.pending if p[0] is not members]
-        if not members.link:  # one group, of no rows too
-            return members.df.agg(*[m(k).alias(n) for n, m, k in aggs]) if aggs else members.df.sparkSession.range(1).select(F.lit(1).alias(fresh("one")))
+        if not members.link:  # one group, of no rows too, but in the second dialect
+            some = fresh("some")
+            one = members.df.agg(F.count(F.lit(1)).alias(some), *[m(k).alias(n) for n, m, k in aggs])
+            return one.filter(F.col(some) > 0) if c.dialect == "v2" else one
         out = members.aggregated(aggs, every=True)
+        if gid:  # the total is there for no rows too
+            out = _with_totals(f, members, out, above, gid, sum(1 << i for i in range(len(keys))), aggs)
         return out.select(*[F.col(b).alias(n) for b, n in above.items()], *[F.col(n).alias(g) for n, g in mine.items()], *[n for n, *_ in aggs])
 
     order = []
@@ -90,6 +94,19 @@ def _grouped(s: Scope, q: Flow, keys: list[Val], masks: list[tuple[bool, ...]] |
     return Flow(group, rec)
 
 
+def _with_totals(f: Frame, members: Frame, groups: DataFrame, above: dict[str, str], gid: str, full: int, aggs: list) -> DataFrame:
+    """The groups, and the totals of rows above that have no members: aggregates of nothing."""
+    nothing = members.df.filter(F.lit(False)).agg(F.count(F.lit(1)).alias("_n"), *[m(k).alias(n) for n, m, k in aggs]).drop("_n")
+    if f.own():
+        owners = f.up.df.select(*[F.col(a).alias(b) for a, b in f.link]).distinct()
+        there = groups.select(*[F.col(b).alias(f"{b}_t") for b in f.own()]).distinct()
+        lone = owners.join(there, both(tuple(F.col(b).eqNullSafe(F.col(f"{b}_t")) for b in f.own())), "left_anti").crossJoin(F.broadcast(nothing))
+    else:
+        there = groups.limit(1).select(F.lit(1).alias("_t"))
+        lone = nothing.join(there, F.lit(True), "left_anti")
+    return groups.unionByName(lone.withColumn(gid, F.lit(full)), allowMissingColumns=True)
+
+
 @rule("group", "group_cube", "rollup")
 def group(c: Compiler, s: Scope, args: tuple, name: str) -> Flow:
     """Records of keys and the values that have them; with a cube or rollup also the totals, which come last."""
@@ -101,7 +118,7 @@ def group(c: Compiler, s: Scope, args: tuple, name: str) -> Flow:
         masks = list(itertools.product((True, False), repeat=len(keys)))
     elif name == "rollup":
         masks = [tuple(i < n for i in range(len(keys))) for n in range(len(keys), -1, -1)]
-    return _grouped(s, q, keys, masks)
+    return _grouped(c, s, q, keys, masks)
 
 
 @rule("partition", "partition_cube")
@@ -151,7 +168,7 @@ def partition(c: Compiler, s: Scope, args: tuple, name: str) -> Flow:
 
 @rule("unique")
 def unique(c: Compiler, s: Scope, args: tuple) -> Flow:
-    """Distinct values, sorted; in the second dialect sorted too, as no order of arrival is kept."""
+    """Distinct values, sorted; in the second dialect in the order in which they come first."""
     q = settled(c.flow(args[0], s, "unique"))
     f, v = q.frame, q.val
     parts = list(v.fields.values()) if v.kind == "record" and v.base is None else [v]
@@ -161,8 +178,18 @@ def unique(c: Compiler, s: Scope, args: tuple) -> Flow:
     names, vals = _with_keys(work, parts)
     flat = [n for own in names for n in own]
     above = {b: fresh("key" if b.startswith("key_") else "k") for b in f.own()}
-    df = work.df.select(*[F.col(b).alias(n) for b, n in above.items()], *flat).distinct()
-    order = [Order(F.col(n), p.desc, p.nulls_last) for own, p in zip(names, parts, strict=True) for n in own]
+    keys = [F.col(b).alias(n) for b, n in above.items()]
+    if c.dialect == "v2":
+        place, orders = fresh("place"), f.orders()
+        rank = ranked(work.df, orders, False) if orders else (F.min_by, F.struct(F.lit(0)))
+        if rank is None or rank[0] is not F.min_by:  # an order that no struct has: numbers it
+            numbered, n = work.numbered()
+            rank, work = (F.min_by, F.struct(n)), f.derive(numbered)
+        df = work.df.groupBy(*keys, *flat).agg(F.min(rank[1]).alias(place))
+        order = [Order(F.col(place))]
+    else:
+        df = work.df.select(*keys, *flat).distinct()
+        order = [Order(F.col(n), p.desc, p.nulls_last) for own, p in zip(names, parts, strict=True) for n in own]
     frame = Frame(df, f.up, [(a, above[b]) for a, b in f.link], flat, order)
     if v.kind == "record" and v.base is None:
         return Flow(frame, replace(v, fields=dict(zip(v.fields, vals, strict=True))))
