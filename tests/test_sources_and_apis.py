@@ -26,29 +26,35 @@ def test_csv_and_money(spark, tmp_path):
 
 
 def test_json_documents(spark, tmp_path):
-    doc = {"departments": [{"name": "police", "employees": [{"n": 1}, {"n": 2}]}, {"name": "zoo", "employees": []}, {"name": None, "employees": [{"n": 7}]}]}
-    (tmp_path / "city.json").write_text(json.dumps(doc))
-    city = files.read_json(spark, str(tmp_path / "city.json"))
-    departments, name, employees, n = d.Fields("departments", "name", "employees", "n")
+    doc = {"quays": [{"name": "north", "berths": [{"m": 40}, {"m": 65}]}, {"name": "mole", "berths": []}, {"name": None, "berths": [{"m": 12}]}], "spare": None}
+    (tmp_path / "harbour.json").write_text(json.dumps(doc))
+    harbour = files.read_json(spark, str(tmp_path / "harbour.json"))
+    quays, name, berths, m = d.Fields("quays", "name", "berths", "m")
     unrow = lambda x: x.asDict(recursive=True) if hasattr(x, "asDict") else [unrow(y) for y in x] if isinstance(x, list) else x
-    value = lambda c, **ctx: unrow(c(city, ctx).first()[0])
-    assert value(d.Const(42)) == 42 and value(d.Count(departments)) == 3
-    assert value(departments >> name) == ["police", "zoo"]
-    assert value(departments >> employees >> n) == [1, 2, 7]
-    assert value(departments >> d.Select(name=name, size=d.Count(employees))) == [{"name": "police", "size": 2}, {"name": "zoo", "size": 0}, {"name": None, "size": 1}]
-    assert value(departments >> d.Filter(d.Count(employees) > 1) >> name) == ["police"]
-    assert value(d.Max(departments >> employees >> n)) == 7 and value(d.Min(departments >> d.Field("employees") >> n)) == 1
-    assert value(d.First(departments >> name)) == "police" and value(d.First(departments >> name, 1)) == ["police"] and value(d.First(departments >> name, -1)) == ["police"]
-    assert value(d.Given(departments >> employees >> d.Filter(n == d.Ref("top")), top=d.Max(departments >> employees >> n))) == [{"n": 7}]
-    assert value(departments >> employees >> (n * d.Ref("k")), k=10) == [10, 20, 70]
-    assert value(departments >> name >> d.Len(d.Here())) == [6, 3]
-    assert value(d.Const(7) // -2) == -4 and value(d.Const(7) % -2) == -1 and value(d.Const(7) / 2) == 3.5
-    assert value(d.Const("a") + "b") == "ab" and value(d.Const([1]) + d.Const([2])) == [1, 2] and value(d.Select(a=1) + d.Select(b=2)) == {"a": 1, "b": 2}
-    assert value(d.Const(True) ^ d.Const(False)) is True and value(~d.Const(True)) is False and value(-d.Const(3)) == -3
-    assert (d.Ref("a") + d.Given(d.Ref("b"), b=d.Ref("c"))).refs == {"a", "c"}
-    for wrong, error in ((d.Field("nothing"), d.InputError), (d.Count(d.Const(1)), d.OperandError), (d.Const(1) + "a", d.OperandError), (d.Ref("x"), d.ContextError)):
+    value = lambda c, **ctx: unrow(c(harbour, ctx).first()[0])
+    assert value(d.Const("pier")) == "pier" and value(d.Count(quays)) == 3
+    assert value(quays >> name) == ["north", "mole"]
+    assert value(quays >> berths >> m) == [40, 65, 12]
+    assert value(quays >> d.Select(name=name, berths=d.Count(berths))) == [{"name": "north", "berths": 2}, {"name": "mole", "berths": 0}, {"name": None, "berths": 1}]
+    assert value(quays >> d.Filter(d.Count(berths) == 0) >> name) == ["mole"]
+    assert value(d.Max(quays >> berths >> m)) == 65 and value(d.Min(quays >> d.Field("berths") >> m)) == 12
+    assert value(d.First(quays >> name)) == "north" and value(d.First(quays >> name, 1)) == ["north"] and value(d.First(quays >> name, -1)) == ["north"]
+    assert value(d.Given(quays >> berths >> d.Filter(m == d.Ref("long")), long=d.Max(quays >> berths >> m))) == [{"m": 65}]
+    assert value(quays >> berths >> (m - d.Ref("k")), k=2) == [38, 63, 10]
+    assert value(quays >> name >> d.Len(d.Here())) == [5, 4]
+    assert value(d.Const(-9) // 4) == -3 and value(d.Const(-9) % 4) == 3 and value(d.Const(9) / 4) == 2.25
+    assert value(d.Const("x") + "y") == "xy" and value(d.Const([3]) + d.Const([4])) == [3, 4] and value(d.Select(p=1) + d.Select(q=2)) == {"p": 1, "q": 2}
+    assert value(d.Const(False) ^ d.Const(True)) is True and value(~d.Const(False)) is True and value(-d.Const(8)) == -8
+    assert (d.Ref("u") + d.Given(d.Ref("v"), v=d.Ref("w"))).refs == {"u", "w"}
+    # operators map over a list beside a single value, or alone
+    long = quays >> berths >> m
+    assert value(long > 20) == [True, True, False] and value(100 - long) == [60, 35, 88] and value(long * d.Ref("k"), k=2) == [80, 130, 24]
+    assert value(-long) == [-40, -65, -12] and value(d.Len(quays >> name)) == [5, 4] and value((quays >> name) + "!") == ["north!", "mole!"]
+    assert value(~(long > 20)) == [False, False, True] and value((long > 20) & True) == [True, True, False] and value(d.Max(long % 7)) == 5
+    assert value(long == 65) == [False, True, False] and value(long + d.Const([1])) == [40, 65, 12, 1] and value(long > d.Const(None)) is None
+    for wrong, error in ((d.Field("crane"), d.InputError), (d.Count(d.Const(4)), d.OperandError), (d.Const(2) + "b", d.OperandError), (d.Ref("y"), d.ContextError), (long - d.Const([1]), d.OperandError), (long + "b", d.OperandError), (d.Filter(long > 20), d.OperandError)):
         with pytest.raises(error):
-            wrong(city)
+            wrong(harbour)
 
 
 def test_xml(spark, tmp_path):
@@ -82,6 +88,77 @@ def test_database_catalog(spark):
     assert sorted(map(tuple, execute(db, "emp:select(name, boss => boss.name, n => count(emp_via_boss))").collect())) == [("ann", None, 2), ("bob", "ann", 0), ("cid", "ann", 0)]
 
 
+def test_database_by_its_driver(spark, tmp_path):
+    """A real database, embedded: its catalog is read, queries run on it, and conditions are pushed down to it."""
+    url, driver = f"jdbc:derby:{tmp_path}/harbour;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    jvm = spark._jvm
+    jvm.java.lang.System.setProperty("derby.stream.error.file", str(tmp_path / "derby.log"))
+    jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(driver)
+    con = jvm.java.sql.DriverManager.getConnection(url)
+    for sql in (
+        'CREATE TABLE "quay" ("id" INT NOT NULL PRIMARY KEY, "name" VARCHAR(20) NOT NULL)',
+        'CREATE TABLE "boat" ("id" BIGINT NOT NULL PRIMARY KEY, "name" VARCHAR(20), "quay_id" INT NOT NULL REFERENCES "quay", "tug_id" BIGINT REFERENCES "boat", "tons" INT)',
+        'CREATE TABLE "crew" ("code" VARCHAR(9) NOT NULL UNIQUE, "boat_id" BIGINT REFERENCES "boat")',
+        'CREATE TABLE "log" ("line" VARCHAR(20))',
+        'CREATE VIEW "heavy" AS SELECT * FROM "boat" WHERE "tons" > 100',
+        """INSERT INTO "quay" VALUES (1, 'north'), (2, 'mole')""",
+        """INSERT INTO "boat" VALUES (1, 'tug', 1, NULL, 90), (2, 'barge', 1, 1, 300), (3, NULL, 2, 1, NULL)""",
+        """INSERT INTO "crew" VALUES ('a', 1), ('b', 2), ('c', NULL)""",
+    ):
+        con.createStatement().execute(sql)
+    con.close()
+    db = database.attach_database(Catalog(spark), url, schema="APP", driver=driver)
+    assert set(db.classes) == {"quay", "boat", "crew"}
+    rows = lambda q: sorted(map(tuple, execute(db, q).collect()), key=str)
+    assert rows("quay:select(name, n => count(boat), tons => sum(boat.tons))") == [("mole", 1, 0), ("north", 2, 390)]
+    assert rows("boat:select(id, name, tug => tug.name, quay => quay.name, towed => count(boat))") == [(1, "tug", None, "north", 2), (2, "barge", "tug", "north", 0), (3, None, "tug", "mole", 0)]
+    assert rows("crew:filter(boat.tons > 100):select(code, boat => boat.name)") == [("b", "barge")]
+    plan = execute(db, "boat:filter(tons > 100).name")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(tons,100)" in plan and "quay_id" not in plan
+
+
+def test_flat_tables(spark):
+    from wayfare.operators.output import html
+    from wayfare.query import formatdf
+
+    db = Catalog(spark)
+    db.attach("quay", spark.createDataFrame([(1, "north"), (2, "mo<le")], "id int, name string"), "id", attributes={"name": "name"})
+    db.attach("boat", spark.createDataFrame([(1, "tug", 1, None), (2, "barge", 1, 1)], "id int, name string, quay int, tug int"), "id", attributes={"name": "name"})
+    db.link("boat", "quay", "quay", {"quay": "id"}, inverse="boat")
+    db.link("boat", "tug", "boat", {"tug": "id"}, optional=True)
+    flat = execute(db, "boat:select(id, quay, tug:select(a => id, b => 1)):dataframe")
+    assert flat.columns == ["id", "name", "a", "b"] and sorted(map(tuple, flat.collect())) == [(1, "north", None, None), (2, "north", 1, 1)]
+    nested = execute(db, "quay:dataframe(name, boat:select(id, quay, name))")
+    assert nested.schema["boat"].dataType.elementType.names == ["id", "name", "name_3"]
+    page = html(nested, 1)
+    assert page.count("<table") == 2 and "&vellip;" in page and "north" in page and "mo&lt;le" in html(nested)
+    formatdf(db)
+    assert execute(db, "boat:select(id, quay)").columns == ["id", "name"]
+    formatdf(db, False)
+    assert execute(db, "boat:select(id, quay)").columns == ["id", "quay"]
+    assert execute(db, "count(boat):dataframe").first()[0] == 2
+
+
+def test_functions_of_many_values(spark):
+    db = Catalog(spark)
+    db.attach("item", spark.createDataFrame([(1, "a b", 2), (2, None, 3), (3, "c", None)], "id int, name string, n int"), "id", attributes={"name": "name", "n": "n"}, optional=("name", "n"))
+    item, name, n = q.Fields("item", "name", "n")
+    words = lambda x: F.split(x, " ")
+    rows = lambda c: [tuple(r) for r in c.run(db).collect()]
+    assert sorted(rows(q.LiftMany(words, "str", item >> name))) == [("a",), ("b",), ("c",)]
+    times = lambda x, k: F.array_repeat(x, k.cast("int"))
+    assert sorted(rows(q.LiftMany(times, "int", item >> n, q.Const([1, 2])))) == [(2,)] * 3 + [(3,)] * 3
+    assert sorted(rows(item >> q.ThenSelect(q.Field("id"), ("k", q.Count(q.LiftMany(times, "int", q.Const([5, 6]), n)))))) == [(1, 4), (2, 6), (3, 0)]
+    assert sorted(rows(q.Lift(lambda a, b: a + b, "int", item >> n, q.Const([10, 20])))) == [(12,), (13,), (22,), (23,)]
+    from wayfare.compiler import RULES
+    from wayfare.functions.scalars import SCALARS
+
+    before = len(RULES), len(SCALARS)
+    for _ in range(3):
+        q.Aggregate(lambda x: F.max(x), "int", item >> n), q.Lift(lambda x: x, "int", n), q.LiftMany(words, "str", name)
+    assert (len(RULES), len(SCALARS)) == before
+
+
 def test_host_combinators(spark):
     db = Catalog(spark)
     db.attach("item", spark.createDataFrame([(1, "a", 5), (2, "b", None), (3, "a", 7)], "id int, name string, n int"), "id", attributes={"name": "name", "n": "n"}, optional=("n",))

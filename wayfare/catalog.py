@@ -66,6 +66,7 @@ class Catalog:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.classes = spark, {}
+        self.flat = False  # whether queries give flat tables
 
     def attach(self, name: str, rows: DataFrame | Callable[[], DataFrame], key: str | tuple[str, ...], *, attributes: dict[str, str] | None = None, select: tuple[str, ...] = (), optional: tuple[str, ...] = (), kinds: dict[str, str] | None = None) -> Class:
         """attributes: columns by the names they get in queries, else all columns under their own names.

@@ -6,6 +6,7 @@ scalar expressions: ``Field("employee") >> ThenFilter(Field("salary") > 1000) >>
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import Column
@@ -13,9 +14,9 @@ from pyspark.sql import functions as F
 
 from .catalog import Catalog
 from .compiler import rule
-from .flow import Flow, Val
-from .functions.aggregates import define_aggregate
-from .functions.scalars import SCALARS
+from .flow import Flow, Val, flatten, settled
+from .functions import aggregates
+from .operators.ordering import exploded
 from .syntax import Call, Compose, Lit, Named, Regex
 
 
@@ -142,36 +143,50 @@ def ThenSummarize(*fields: Any) -> Then:
     return Then(lambda q: Call("select", (Call("group", (q,)), *map(tree, fields))))
 
 
-def Lift(function: Callable[..., Column], kind: str, *args: Any, optional: bool = False) -> Q:
-    """Applies any function of columns, a pandas UDF too, to values: for many values to each combination."""
-    name = f"lift {getattr(function, '__name__', 'function')} {id(function)}"
+@dataclass(frozen=True)
+class Function:
+    """A function of columns, held by the trees that apply it; many: gives an array, whose elements are the values."""
+
+    of: Callable[..., Column]
+    kind: str
+    optional: bool = False
+    many: bool = False
+
+
+@rule("given_function")
+def _applied(c: Any, s: Any, args: tuple) -> Any:
+    f = args[0].value
+    if not f.many:
+        return c.lift(lambda *vals: Val(f.kind, f.of(*[v.col for v in vals]), f.optional or any(v.optional for v in vals)), args[1:], s)
+    values = [c.compile(t, s) for t in args[1:]]
+    flows = [v for v in values if isinstance(v, Flow)]
+    made = lambda vals: F.coalesce(f.of(*[v.col for v in vals]), F.array())
+    if not flows:
+        return exploded(s, made(values), f.kind, None)
+    if len(flows) > 1:
+        flow, vals = c.product(flows, s)
+    else:
+        flow = settled(flows[0])
+        vals = [flow.val]
+    if any(isinstance(v, Val) and not v.const for v in values):
+        flow.frame.reach(s.frame)
+    it = iter(vals)
+    return flatten(flow, exploded(s.at(flow.frame, flow.val), made([next(it) if isinstance(v, Flow) else v for v in values]), f.kind, None))
 
-    def lifted(*vals: Val) -> Val:
-        return Val(kind, function(*[v.col for v in vals]), optional or any(v.optional for v in vals))
 
-    SCALARS[name] = lifted
-    return Q(Call(name, tuple(map(tree, args))))
+def Lift(function: Callable[..., Column], kind: str, *args: Any, optional: bool = False) -> Q:
+    """Applies any function of columns, a pandas UDF too, to values: for many values to each combination."""
+    return Q(Call("given_function", (Lit(Function(function, kind, optional)), *map(tree, args))))
 
 
 def LiftMany(function: Callable[..., Column], kind: str, *args: Any) -> Q:
-    """As Lift, for a function that gives an array: its elements are the values."""
-    name = f"lift many {getattr(function, '__name__', 'function')} {id(function)}"
-
-    @rule(name)
-    def lifted(c: Any, s: Any, trees: tuple) -> Flow:
-        from .operators.ordering import exploded
-
-        vals = [c.val(t, s, "a lifted function") for t in trees]
-        return exploded(s, F.coalesce(function(*[v.col for v in vals]), F.array()), kind, None)
-
-    return Q(Call(name, tuple(map(tree, args))))
+    """As Lift, for a function that gives an array: its elements are the values; a missing array has none."""
+    return Q(Call("given_function", (Lit(Function(function, kind, many=True)), *map(tree, args))))
 
 
 def Aggregate(function: Callable[[Column], Column], kind: str, q: Any, zero: Any = None) -> Q:
     """Any function from a column to an aggregate of it, a grouped pandas UDF too; zero: its value for no values."""
-    name = f"aggregate {getattr(function, '__name__', 'function')} {id(function)}"
-    define_aggregate(name, function, kind=kind, zero=zero)
-    return Q(Call(name, (tree(q),)))
+    return Q(Call("given_aggregate", (Lit(aggregates.Aggregate(function, zero, kind)), tree(q))))
 
 
 def ThenAggregate(function: Callable[[Column], Column], kind: str, zero: Any = None) -> Then:

@@ -161,13 +161,21 @@ def Given(query: Any, **names: Any) -> Combinator:
     return Combinator(lambda x, ctx: q.apply(x, {**ctx, **{n: c.apply(x, ctx) for n, c in fs.items()}}), f"Given({q!r}, {', '.join(f'{n}={c!r}' for n, c in fs.items())})", inner)
 
 
-def _unary(name: str, make: Callable[[Node], Node | None]) -> Callable[[Any], Combinator]:
+def _each(items: Node, make: Callable[[Node], Node | None]) -> Node | None:
+    """A function of one value applied to each item of a list; nulls stay."""
+    trial = make(Node(F.lit(None).cast(items.items), items.items))
+    return None if trial is None else Node(F.transform(items.col, lambda i: make(Node(i, items.items)).col), T.ArrayType(trial.type))
+
+
+def _unary(name: str, make: Callable[[Node], Node | None], *, maps: bool = False) -> Callable[[Any], Combinator]:
+    """maps: whether it is applied to each item of a list."""
+
     def combinator(arg: Any) -> Combinator:
         c = _lift(arg)
 
         def apply(x: Node, ctx: dict) -> Node:
             y = c.apply(x, ctx)
-            out = make(y)
+            out = _each(y, make) if maps and y.items is not None else make(y)
             if out is None:
                 raise OperandError(f"{name} does not take {y.type.simpleString()}")
             return out
@@ -190,13 +198,13 @@ def Filter(test: Any) -> Combinator:
     return Combinator(apply, f"Filter({c!r})", c.refs)
 
 
-Len = _unary("Len", lambda y: Node(F.length(y.col).cast("bigint"), INT) if isinstance(y.type, T.StringType) else None)
+Len = _unary("Len", lambda y: Node(F.length(y.col).cast("bigint"), INT) if isinstance(y.type, T.StringType) else None, maps=True)
 Count = _unary("Count", lambda y: Node(F.when(y.col.isNotNull(), F.size(y.col).cast("bigint")), INT) if y.items is not None else None)
 Min = _unary("Min", lambda y: Node(F.array_min(y.col), y.items) if isinstance(y.items, (T.NumericType, T.StringType)) else None)
 Max = _unary("Max", lambda y: Node(F.array_max(y.col), y.items) if isinstance(y.items, (T.NumericType, T.StringType)) else None)
-Neg = _unary("-", lambda y: Node(-y.col, y.type) if y.number else None)
-Pos = _unary("+", lambda y: y if y.number else None)
-Invert = _unary("~", lambda y: Node(~y.col, y.type) if isinstance(y.type, T.BooleanType) else None)
+Neg = _unary("-", lambda y: Node(-y.col, y.type) if y.number else None, maps=True)
+Pos = _unary("+", lambda y: y if y.number else None, maps=True)
+Invert = _unary("~", lambda y: Node(~y.col, y.type) if isinstance(y.type, T.BooleanType) else None, maps=True)
 
 
 def First(query: Any, n: Any = None) -> Combinator:
@@ -252,12 +260,24 @@ def _apply(op: str, a: Node, b: Node) -> Node | None:
     return Node(made.cast(FLOAT if op == "/" else kind), FLOAT if op == "/" else kind)
 
 
+def _given(out: Node | None, operand: Node) -> Node | None:
+    """The list, or null where the other operand is."""
+    return None if out is None else Node(F.when(operand.col.isNotNull(), out.col), out.type)
+
+
 def _binary(op: str, left: Any, right: Any) -> Combinator:
     f, g = _lift(left), _lift(right)
 
     def apply(x: Node, ctx: dict) -> Node:
         a, b = f.apply(x, ctx), g.apply(x, ctx)
-        out = _apply(op, a, b)
+        if T.NullType() in (a.type, b.type) and (a.items is not None or b.items is not None):
+            return Node(F.lit(None), T.NullType())
+        if a.items is not None and b.items is None:  # each item with the other operand
+            out = _given(_each(a, lambda i: _apply(op, i, b)), b)
+        elif b.items is not None and a.items is None:
+            out = _given(_each(b, lambda i: _apply(op, a, i)), a)
+        else:
+            out = _apply(op, a, b)
         if out is None:
             raise OperandError(f"{op} does not take {a.type.simpleString()} and {b.type.simpleString()}")
         return out

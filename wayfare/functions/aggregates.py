@@ -14,7 +14,7 @@ from ..operators.windows import over
 from ..syntax import Call, QueryError
 
 
-@dataclass
+@dataclass(frozen=True)
 class Aggregate:
     """make: the column of an aggregate over a column that is null where a row does not count; zero: for no rows."""
 
@@ -58,10 +58,18 @@ def _result(a: Aggregate, v: Val, col: Column, name: str) -> Val:
 
 @rule(*AGGREGATES)
 def _aggregate(c: Compiler, s: Scope, args: tuple, name: str) -> Val:
-    a = AGGREGATES[name]
     if len(args) != 1:
         raise QueryError(f"{name} takes one argument")
-    tree = args[0]
+    return _aggregated(c, s, AGGREGATES[name], args[0], name)
+
+
+@rule("given_aggregate")
+def _given(c: Compiler, s: Scope, args: tuple) -> Val:
+    """An aggregate that the tree itself holds."""
+    return _aggregated(c, s, args[0].value, args[1], "the aggregate")
+
+
+def _aggregated(c: Compiler, s: Scope, a: Aggregate, tree: object, name: str) -> Val:
     if name == "count" and isinstance(tree, Call) and tree.name == "unique" and len(tree.args) == 1:
         q = c.compile(tree.args[0], s)
         if isinstance(q, Flow) and q.span is None:  # without a table of the distinct values

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import replace
+from html import escape
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..compiler import Compiler, Scope, rule
@@ -114,12 +116,64 @@ def json(c: Compiler, s: Scope, args: tuple) -> Val | Flow:
 
 @rule("dataframe")
 def dataframe(c: Compiler, s: Scope, args: tuple) -> Val | Flow:
-    """The fields, or what is shown, as they are: results are tables already."""
-    if len(args) == 1:
-        return c.compile(args[0], s)
-    from .navigate import select
+    """A table of the fields, or of what is shown: fields of records and entities inside become columns of their own, and
+    many values are tables inside."""
+    if len(args) > 1:
+        from .navigate import select
 
-    return select(c, s, args)
-
-
-__all__ = ["column", "shown", "table"]
+        q = select(c, s, args)
+    else:
+        q = c.compile(args[0], s)
+    v, frame = (q.val, q.frame) if isinstance(q, Flow) else (q, s.frame)
+    if isinstance(q, Flow) and q.span is not None or _parts(c, s.at(frame, v), v) is None:
+        return q
+    if isinstance(q, Flow):
+        q = settled(q)
+        frame = q.frame
+    flat = Val("record", fields=_flat(c, s.at(frame, v), v), base=v if v.base is None else v.base, tag=v.tag, optional=v.optional)
+    return replace(q, val=flat) if isinstance(q, Flow) else flat
+
+
+def _flat(c: Compiler, s: Scope, v: Val) -> dict[str, Val | Flow]:
+    """The fields of a value and of the single values in it; a name that is taken gets a number."""
+    out: dict[str, Val | Flow] = {}
+
+    def add(name: str, x: Val | Flow) -> None:
+        out[name if name not in out else f"{name}_{len(out) + 1}"] = x
+
+    for n, x in _parts(c, s, v).items():
+        x = c.hung(x, s)
+        if isinstance(x, Flow):
+            inner = s.at(x.frame, x.val)
+            if x.span is None and _parts(c, inner, x.val) is not None:
+                x = settled(x)
+                inner = s.at(x.frame, x.val)
+                x = replace(x, val=Val("record", fields=_flat(c, inner, x.val), base=x.val if x.val.base is None else x.val.base, tag=x.val.tag))
+            add(n, x)
+        elif _parts(c, s, x) is not None:
+            for m, y in _flat(c, s, x).items():
+                add(m, replace(y, col=F.when(x.present(), y.col), optional=True) if isinstance(y, Val) and x.optional and y.col is not None else y)
+        else:
+            add(n, x)
+    return out
+
+
+def html(df: DataFrame, rows: int = 20) -> str:
+    """A table of HTML with the first rows; lists of records are tables inside, of as many rows as the root of that."""
+    return _table(df.columns, [list(r) for r in df.limit(rows + 1).collect()], rows)
+
+
+def _table(names: list[str], values: list[list], most: int) -> str:
+    head = "".join(f"<th>{escape(n)}</th>" for n in names)
+    body = "".join(f"<tr><th>{i}</th>{''.join(f'<td>{_cell(v, most)}</td>' for v in row)}</tr>" for i, row in enumerate(values[:most], 1))
+    more = f"<tr><th>&vellip;</th>{'<td>&vellip;</td>' * len(names)}</tr>" if len(values) > most else ""
+    return f'<table class="dataframe"><tr><th></th>{head}</tr>{body}{more}</table>'
+
+
+def _cell(value: object, most: int) -> str:
+    if isinstance(value, list) and value and isinstance(value[0], Row):
+        return _table(list(value[0].__fields__), [list(r) for r in value], 1 + round(math.sqrt(most)))
+    return "" if value is None else escape(str(value))
+
+
+__all__ = ["column", "html", "shown", "table"]

@@ -37,13 +37,19 @@ class Query:
         for name, v in params.items():
             value = Call("array", tuple(Lit(x) for x in v)) if isinstance(v, (list, tuple)) else literal(v).named(name)
             env[name] = Bound(c.root, value)
-        return output.table(c, c.compile(self.tree, Scope(c.root, c.top.focus, env, c.root)))
+        tree = Call("dataframe", (self.tree,)) if self.catalog.flat else self.tree
+        return output.table(c, c.compile(tree, Scope(c.root, c.top.focus, env, c.root)))
 
     def explain(self, **params: Any) -> str:
         """The physical plan as text."""
         return self(**params)._jdf.queryExecution().explainString(self.catalog.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
 
+def formatdf(catalog: Catalog, on: bool = True) -> None:
+    """Whether the catalog's queries give flat tables, as ``:dataframe`` does, without being asked to."""
+    catalog.flat = on
+
+
 def prepare(catalog: Catalog, query: Any, *names: str, dialect: str = "v1") -> Query:
     return Query(catalog, query, dialect=dialect, names=names)
 

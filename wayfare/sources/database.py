@@ -1,22 +1,15 @@
-"""Databases: every table, column and foreign key of a schema becomes a class, an attribute and two links."""
+"""Databases: every table, column and foreign key of a schema becomes a class, an attribute and two links.
+
+The catalog is asked through the driver's own description of it, so any database with a JDBC driver will do."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..catalog import Catalog
 
-#: Standard views of the catalog, as queries that a JDBC source can run.
-TABLES = "SELECT table_name, column_name, ordinal_position, is_nullable FROM information_schema.columns WHERE table_schema = '{schema}'"
-KEYS = """SELECT c.constraint_name, c.constraint_type, k.table_name, k.column_name, k.ordinal_position, k.position_in_unique_constraint, r.unique_constraint_name
-FROM information_schema.table_constraints c
-JOIN information_schema.key_column_usage k ON k.constraint_schema = c.constraint_schema AND k.constraint_name = c.constraint_name
-LEFT JOIN information_schema.referential_constraints r ON r.constraint_schema = c.constraint_schema AND r.constraint_name = c.constraint_name
-WHERE c.table_schema = '{schema}' AND c.constraint_type IN ('PRIMARY KEY', 'UNIQUE', 'FOREIGN KEY')"""
-
-
 @dataclass
 class Table:
     """columns: name -> may be null; links: column -> (target table, target column)."""
@@ -56,7 +49,9 @@ def attach_tables(db: Catalog, tables: dict[str, Table], read) -> Catalog:
 
 
 def described(columns: list[tuple], keys: list[tuple]) -> dict[str, Table]:
-    """Tables from rows of the two catalog queries; only foreign keys of one column become links."""
+    """Tables from rows of columns (table, column, place, YES or NO for nulls) and of keys (name, PRIMARY KEY, UNIQUE or
+    FOREIGN KEY, table, column, place, place in the key that it points to, that key's name); only foreign keys of one
+    column become links."""
     tables: dict[str, Table] = {}
     for table, column, _, nullable in sorted(columns, key=lambda r: (r[0], r[2])):
         tables.setdefault(table, Table({})).columns[column] = nullable == "YES"
@@ -80,14 +75,47 @@ def described(columns: list[tuple], keys: list[tuple]) -> dict[str, Table]:
     return tables
 
 
+def _rows(found: object, *names: str) -> list[tuple]:
+    """The named columns of a JDBC result."""
+    out = []
+    while found.next():
+        out.append(tuple(found.getString(n) for n in names))
+    found.close()
+    return out
+
+
+def introspect(spark: SparkSession, url: str, schema: str, driver: str | None = None, **properties: str) -> dict[str, Table]:
+    """The tables of a schema with their keys, as the database's driver describes them."""
+    jvm = spark._jvm
+    if driver:
+        jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(driver)
+    given = jvm.java.util.Properties()
+    for k, v in properties.items():
+        given.setProperty(k, v)
+    connection = jvm.java.sql.DriverManager.getConnection(url, given)
+    try:
+        meta = connection.getMetaData()
+        names = {n for n, kind in _rows(meta.getTables(None, schema, "%", None), "TABLE_NAME", "TABLE_TYPE") if kind in ("TABLE", "BASE TABLE", "PARTITIONED TABLE")}
+        columns = [(t, c, int(at), null) for t, c, at, null in _rows(meta.getColumns(None, schema, "%", "%"), "TABLE_NAME", "COLUMN_NAME", "ORDINAL_POSITION", "IS_NULLABLE") if t in names]
+        keys: list[tuple] = []
+        for t in sorted(names):
+            keys += [(f"{t} primary", "PRIMARY KEY", t, c, int(at), None, None) for c, at in _rows(meta.getPrimaryKeys(None, schema, t), "COLUMN_NAME", "KEY_SEQ")]
+            keys += [(f"{t} {i}", "UNIQUE", t, c, int(at), None, None) for i, c, at in _rows(meta.getIndexInfo(None, schema, t, True, True), "INDEX_NAME", "COLUMN_NAME", "ORDINAL_POSITION") if i and c]
+            for target, at, own, name, column in _rows(meta.getImportedKeys(None, schema, t), "PKTABLE_NAME", "KEY_SEQ", "FKCOLUMN_NAME", "FK_NAME", "PKCOLUMN_NAME"):
+                keys.append((f"{t} to {name}", "FOREIGN KEY", t, own, int(at), int(at), f"{target} by {t} {name}"))
+                keys.append((f"{target} by {t} {name}", "UNIQUE", target, column, int(at), None, None))
+    finally:
+        connection.close()
+    return described(columns, keys)
+
+
 def attach_database(db: Catalog, url: str, *, schema: str = "public", partitions: dict[str, dict] | None = None, **options: str) -> Catalog:
     """Reads a database's catalog and attaches its tables.
 
     Queries push filters and columns down to the database.  ``partitions`` gives a table's options for reading in
-    parallel (partitionColumn, lowerBound, upperBound, numPartitions)."""
-    reader = db.spark.read.format("jdbc").options(url=url, **options)
-    ask = lambda sql: [tuple(r) for r in reader.option("query", sql.format(schema=schema)).load().collect()]
-    tables = described(ask(TABLES), ask(KEYS))
+    parallel (partitionColumn, lowerBound, upperBound, numPartitions); ``options`` are those of the connection (driver,
+    user, password, ...)."""
+    tables = introspect(db.spark, url, schema, **options)
 
     def read(table: str) -> DataFrame:
         return db.spark.read.format("jdbc").options(url=url, **options, **(partitions or {}).get(table, {})).option("dbtable", f'"{schema}"."{table}"').load()
