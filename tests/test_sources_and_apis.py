@@ -74,6 +74,19 @@ def test_xml(spark, tmp_path):
     assert sorted(map(tuple, rows), key=str) == [(0, None, "lib", []), (2, "One bold tail", "lib", ["en"])]
 
 
+def test_xml_of_any_shape():
+    """Against the library's tree; deeper than Python's own stack."""
+    from xml.etree import ElementTree
+
+    text = '<a xmlns="u" xmlns:x="v" k="1"><!-- no --><b x:l="2">p<c/>q<![CDATA[<r>]]></b>s<b>t</b></a>'
+    tree = list(ElementTree.fromstring(text).iter())
+    got = xml.elements(text.encode())
+    assert [(r[4], dict(r[5]), r[6]) for r in got] == [(e.tag, e.attrib, "".join(e.itertext())) for e in tree]
+    assert [(r[0], r[1], r[2], r[3], r[7]) for r in got] == [(1, None, 4, 0, []), (2, 1, 3, 1, [1]), (3, 2, 3, 2, [1, 2]), (4, 1, 4, 1, [1])]
+    deep = xml.elements(b"<d>" * 3000 + b"x" + b"</d>" * 3000)
+    assert len(deep) == 3000 and deep[-1][3] == 2999 and {r[6] for r in deep} == {"x"} and {r[2] for r in deep} == {3000}
+
+
 def test_database_catalog(spark):
     cols = [("emp", "id", 1, "NO"), ("emp", "name", 2, "YES"), ("emp", "dept_id", 3, "NO"), ("emp", "boss_id", 4, "YES"), ("emp", "deputy_id", 5, "YES"), ("dept", "id", 1, "NO"), ("dept", "name", 2, "NO"), ("note", "t", 1, "YES")]
     keys = [("pk1", "PRIMARY KEY", "emp", "id", 1, None, None), ("uq", "UNIQUE", "dept", "id", 1, None, None), ("f1", "FOREIGN KEY", "emp", "dept_id", 1, 1, "uq"), ("f2", "FOREIGN KEY", "emp", "boss_id", 1, 1, "pk1"), ("f3", "FOREIGN KEY", "emp", "deputy_id", 1, 1, "pk1")]

@@ -16,6 +16,8 @@ KINDS = {T.BooleanType: "bool", T.ByteType: "int", T.ShortType: "int", T.Integer
 def kind_of(t: T.DataType) -> str:
     if isinstance(t, T.DecimalType):
         return "money" if t.scale == 2 else "float"
+    if isinstance(t, T.ArrayType):
+        return f"many {kind_of(t.elementType)}"
     return KINDS.get(type(t), "any")
 
 

@@ -174,6 +174,10 @@ class Compiler:
             ids = dict(zip(focus.cls.key, focus.ids, strict=True))
             name = ids.get(arrow.column) or frame.join_entity(focus)[arrow.column]
             col, kind = F.col(name), focus.cls.kind(arrow)
+            if kind.startswith("many "):  # a list in a column: its elements are the values
+                from .operators.ordering import exploded
+
+                return exploded(Scope(frame, focus), F.filter(col, lambda x: x.isNotNull()), kind[5:], arrow.name)
             if kind in CASTS:
                 col = col.cast(CASTS[kind])
             return Val(kind, col, focus.optional or arrow.optional, arrow.name)

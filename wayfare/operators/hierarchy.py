@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..compiler import Compiler, Scope, rule
 from ..flow import Flow, Frame, Order, Val, fresh, scan, settled
@@ -78,16 +80,16 @@ def depth(c: Compiler, s: Scope, args: tuple) -> Val:
 
 @rule("sort_connect")
 def sort_connect(c: Compiler, s: Scope, args: tuple) -> Flow:
-    """Values so that each follows what its link leads to, if that is among them; siblings keep their order, and what
-    lies on a cycle is left out.  The link must be singular."""
+    """Values so that each follows all that its link leads to, as far as that is among them: what follows a value comes
+    right after it, and siblings keep their order.  What lies on a cycle, or only after one, is left out."""
     q = settled(c.flow(args[0], s, "sort_connect"))
     if not q.val.cls or len(q.val.ids) != 1:
         raise QueryError("sort_connect needs entities with a simple key")
-    v = c.val(args[1], s.at(q.frame, q.val), "sort_connect")
-    if v.cls is not q.val.cls:
+    v = c.compile(args[1], s.at(q.frame, q.val))
+    if (v.val if isinstance(v, Flow) else v).cls is not q.val.cls:
         raise QueryError(f"{args[1]} does not lead to {q.val.cls.name}")
-    if q.frame.own():
-        raise QueryError("sort_connect is for the top of a query")
+    if isinstance(v, Flow) or q.frame.own():
+        return _sorted_groups(q, v)
     numbered, n = q.frame.numbered()
     rows = numbered.select(F.col(q.val.ids[0]).alias("id"), F.col(v.ids[0]).alias("parent"), F.col(n).alias("n"))
     known = rows.select(F.col("id").alias("known"))
@@ -98,3 +100,61 @@ def sort_connect(c: Compiler, s: Scope, args: tuple) -> Flow:
     frame = q.frame.derive(df, order=[Order(F.col(path))])
     frame.explicit = True
     return Flow(frame, replace(q.val))
+
+
+def _sorted_groups(q: Flow, v: Val | Flow) -> Flow:
+    """For links with many targets, or below the top: the values under one row above are sorted by one task, which holds
+    their keys and links only."""
+    if isinstance(v, Flow):
+        if v.span is not None or v.frame.up is not q.frame:
+            raise QueryError("the link must start at the values")
+        links = F.coalesce(v.frame.aggregate(lambda k: F.collect_list(F.when(k, F.col(v.val.ids[0])) if k is not None else F.col(v.val.ids[0])), v.cond), F.array())
+    else:
+        links = F.array_compact(F.array(F.col(v.ids[0])))
+    f, own = q.frame, q.frame.own()
+    marked, needs = fresh("n"), fresh("needs")
+    numbered, n = f.derive(f.df.withColumn(needs, links)).numbered()
+    numbered = numbered.withColumnRenamed(n, marked)
+    keys = {b: fresh("key" if b.startswith("key_") else "k") for b in own}
+    rows = numbered.select(*[F.col(b).alias(k) for b, k in keys.items()], F.col(marked).alias("n"), F.col(q.val.ids[0]).alias("id"), F.col(needs).alias("needs"))
+    place, at = fresh("place"), fresh("n")
+    schema = StructType([*[rows.schema[k] for k in keys.values()], StructField(at, LongType()), StructField(place, LongType())])
+
+    def ordered(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("n", ignore_index=True)
+        found = topological(list(group["id"]), [list(x) for x in group["needs"]])
+        out = group.loc[found, list(keys.values())].reset_index(drop=True)
+        return out.assign(**{at: group["n"].to_numpy()[found], place: range(len(found))})
+
+    placed = rows.groupBy(*keys.values()).applyInPandas(ordered, schema)
+    on = F.col(marked) == F.col(at)
+    for b, k in keys.items():
+        on = on & F.col(b).eqNullSafe(F.col(k))
+    df = numbered.join(placed, on).drop(marked, needs, at, *keys.values())
+    frame = f.derive(df, order=[Order(F.col(place))])
+    frame.explicit = True
+    return Flow(frame, replace(q.val))
+
+
+def topological(ids: list, needs: list[list]) -> list[int]:
+    """Places of values so that each comes after those whose ids it needs, if they are there at all."""
+    places: dict = {}
+    for i, x in enumerate(ids):
+        places.setdefault(x, []).append(i)
+    after: list[list[int]] = [[] for _ in ids]
+    open_needs = [0] * len(ids)
+    for i, wanted in enumerate(needs):
+        for j in (j for x in wanted for j in places.get(x, ())):
+            after[j].append(i)
+            open_needs[i] += 1
+    ready, out = [i for i in reversed(range(len(ids))) if not open_needs[i]], []
+    while ready:
+        i = ready.pop()
+        out.append(i)
+        freed = []
+        for j in after[i]:
+            open_needs[j] -= 1
+            if not open_needs[j]:
+                freed.append(j)
+        ready += reversed(freed)
+    return out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from xml.parsers import expat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -10,30 +11,52 @@ from pyspark.sql import functions as F
 
 from ..catalog import Catalog
 
-SCHEMA = "doc string, node bigint, parent bigint, last bigint, depth int, name string, attributes map<string,string>, text string"
+SCHEMA = "doc string, node bigint, parent bigint, last bigint, depth int, name string, attributes map<string,string>, text string, inside array<bigint>"
+
+
+def elements(content: bytes) -> list[list]:
+    """[node, parent, last, depth, name, attributes, text, inside] of each element, in document order.
+
+    Read in one pass, without recursion: a text is a part of the document's whole text."""
+    rows: list[list] = []
+    stack: list[int] = []
+    parts: list[str] = []
+    length = 0
+    named = lambda n: "{" + n if "}" in n else n
+
+    def start(name: str, attributes: dict) -> None:
+        above = rows[stack[-1]][0] if stack else None
+        rows.append([len(rows) + 1, above, None, len(stack), named(name), [(named(k), v) for k, v in attributes.items()], length, [rows[i][0] for i in stack]])
+        stack.append(len(rows) - 1)
+
+    def end(_: str) -> None:
+        row = rows[stack.pop()]
+        row[2], row[6] = len(rows), (row[6], length)
+
+    def text(piece: str) -> None:
+        nonlocal length
+        parts.append(piece)
+        length += len(piece)
+
+    parser = expat.ParserCreate(namespace_separator="}")
+    parser.buffer_text = True
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, text
+    parser.Parse(content, True)
+    whole = "".join(parts)
+    for row in rows:
+        row[6] = whole[slice(*row[6])]
+    return rows
 
 
 def parse_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each element, in document order.  ``node`` counts them from 1; ``last`` is the last one inside;
-    ``text`` is all text inside, tails of inner elements included.  Names in a namespace are "{uri}name"."""
-    from xml.etree import ElementTree
-
+    ``text`` is all text inside, tails of inner elements included; ``inside`` are the nodes that it lies in.  Names in a
+    namespace are "{uri}name"."""
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.list_(pa.int64())]
     for b in batches:
         for doc, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-            rows: list[list] = []
-
-            def visit(e, parent, depth, rows=rows, doc=doc):
-                at = len(rows)
-                rows.append([doc, at + 1, parent, at + 1, depth, e.tag, list(e.attrib.items()), "".join(e.itertext())])
-                for child in e:
-                    if isinstance(child.tag, str):
-                        visit(child, at + 1, depth + 1)
-                rows[at][3] = len(rows)
-
-            visit(ElementTree.fromstring(content), None, 0)
-            cols = list(zip(*rows, strict=True))
-            types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc", "node", "parent", "last", "depth", "name", "attributes", "text"])
+            cols = list(zip(*[[doc, *r] for r in elements(content)], strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc", "node", "parent", "last", "depth", "name", "attributes", "text", "inside"])
 
 
 def open_xml(spark: SparkSession, path: str) -> DataFrame:
@@ -66,10 +89,10 @@ def child(nodes: DataFrame, of: DataFrame, name: str | None = None, **attributes
 
 
 def descendant(nodes: DataFrame, of: DataFrame, name: str | None = None, **attributes: str | bool) -> DataFrame:
-    """Nodes inside: numbers between a node's own and that of its last inner one."""
-    ups = of.select(F.col("doc").alias("_d"), F.col("node").alias("_p"), F.col("last").alias("_l"))
-    inside = (F.col("doc") == F.col("_d")) & (F.col("node") > F.col("_p")) & (F.col("node") <= F.col("_l"))
-    return matching(nodes, name, **attributes).join(ups, inside).drop("_d", "_p", "_l")
+    """Nodes inside, once for each node of ``of`` that they lie in: found by the list of what each lies in."""
+    ups = of.select(F.col("doc").alias("_d"), F.col("node").alias("_p"))
+    inside = matching(nodes, name, **attributes).withColumn("_i", F.explode("inside"))
+    return inside.join(ups, (F.col("doc") == F.col("_d")) & (F.col("_i") == F.col("_p"))).drop("_d", "_p", "_i")
 
 
 def attach_xml(db: Catalog, name: str, path: str, *, attributes: tuple[str, ...] = ()) -> None:
