@@ -99,4 +99,50 @@ p AS (SELECT DISTINCT x[1:i] AS x FROM (SELECT x, unnest(range(1, len(x))) AS i
 w AS (SELECT x, min(conv_id) AS conv_id, count(*) AS n_copies FROM c GROUP BY x)
 SELECT conv_id, len(x)::BIGINT AS n_turns, n_copies, sha256(array_to_string(x, '')) AS chat_sha256 FROM w ANTI JOIN p USING (x)"""
 
-SQL: dict[str, str] = {"op4_line_dedup": LINE_DEDUP, "op2_decontaminate": DECONTAMINATE, "op5_url_filters": URL_FILTERS, "op8_chat_formatting": CHAT_FORMATTING, "op9_near_duplicates": NEAR_DUPLICATES}
+_ASSIGN = """(?i:(?:password|passwd|secret|token|api_?key)["']?\\x20*[:=]\\x20*["']?)([A-Za-z0-9+/_.=-]+)"""
+_PATTERNS = {
+    "assign": _ASSIGN,
+    "access": "AKIA[A-Z0-9]{16,}",
+    "hex": "[0-9a-f]{24,}",
+    "long": "[A-Za-z0-9+/_-]{32,}={0,2}",
+    "short": "[A-Za-z0-9+/_-]{16,}={0,2}",
+    "user": """(?i:\\b(?:user(?:_?name)?|login|account|client_?id)["']?\\x20*[:=]\\x20*["']?)[A-Za-z0-9@._-]{3,}""",
+    "endpoint": """(?i:\\b(?:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://)[^ \\t\\n\\x0b\\f\\r"'<>]+""",
+}
+_QUOTED = {k: "'" + p.replace("'", "''") + "'" for k, p in _PATTERNS.items()}
+_FOUND = " UNION ALL ".join(f"SELECT rid, '{k}' AS what, string_split_regex(t, {p}) AS gaps, regexp_extract_all(t, {p}) AS hits FROM d WHERE regexp_matches(t, {p})" for k, p in _QUOTED.items())
+
+#: Every pair of parts of a text is looked at, without buckets.
+SECRET_SCANS = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({_FOUND}),
+each AS (SELECT rid, what, i, len(gaps[i]) AS gap, hits[i] AS hit FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM found)),
+placed AS (SELECT rid, what, hit, (sum(gap + len(hit)) OVER (PARTITION BY rid, what ORDER BY i))::BIGINT AS stop FROM each),
+s AS (
+  SELECT rid, what, stop - len(hit) AS start, stop FROM placed
+  WHERE CASE what WHEN 'assign' THEN len(regexp_extract(hit, {_QUOTED['assign']}, 1)) >= 6
+    WHEN 'long' THEN regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Z]') AND regexp_matches(hit, '[a-z]')
+    WHEN 'short' THEN regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]') ELSE true END),
+base AS (SELECT * FROM s WHERE what IN ('assign', 'access', 'hex')),
+free AS (SELECT * FROM s WHERE what IN ('long', 'short', 'user') AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = s.rid AND b.start < s.stop AND s.start < b.stop) UNION ALL SELECT * FROM s WHERE what = 'endpoint'),
+weak AS (SELECT * FROM free f WHERE what <> 'short' OR NOT EXISTS (SELECT 1 FROM free o WHERE o.rid = f.rid AND o.what <> 'short' AND o.start < f.stop AND f.start < o.stop)),
+parts AS (
+  SELECT *, CASE WHEN what IN ('assign', 'hex', 'long') THEN 'secret' WHEN what IN ('access', 'user') THEN 'id' WHEN what = 'short' THEN 'short' ELSE 'end' END AS role
+  FROM (SELECT *, false AS alone FROM base UNION ALL SELECT *, true AS alone FROM weak)),
+near AS (
+  SELECT w.rid, w.what, w.start, w.stop, w.role, list(DISTINCT o.role) AS others FROM parts w JOIN parts o
+    ON o.rid = w.rid AND o.role <> w.role AND o.stop >= w.start - 200 AND o.start <= w.stop + 200 WHERE w.alone GROUP BY ALL),
+linked AS (
+  SELECT rid, what, start, stop FROM near WHERE CASE role WHEN 'id' THEN list_has_any(others, ['secret', 'short']) WHEN 'secret' THEN list_has_any(others, ['id', 'end'])
+    WHEN 'short' THEN list_contains(others, 'id') ELSE list_contains(others, 'secret') OR list_has_all(others, ['id', 'short']) END),
+named AS (
+  SELECT rid, what AS kind, start, stop, true AS plain FROM base
+  UNION SELECT rid, CASE WHEN what IN ('long', 'short') THEN 'key' ELSE what END, start, stop, false FROM linked),
+text AS (SELECT *, kind || ':' || start || ':' || stop AS said, list_position(['assign', 'access', 'hex', 'key', 'user', 'endpoint'], kind) AS n FROM named),
+total AS (
+  SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    sha256(coalesce(string_agg(said, ',' ORDER BY start, n, stop) FILTER (plain), '')) AS base_sha256, string_agg(said, ',' ORDER BY start, n, stop) AS spans FROM text GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN total USING (rid)"""
+
+SQL: dict[str, str] = {"op4_line_dedup": LINE_DEDUP, "op2_decontaminate": DECONTAMINATE, "op5_url_filters": URL_FILTERS, "op6_secret_scans": SECRET_SCANS, "op8_chat_formatting": CHAT_FORMATTING, "op9_near_duplicates": NEAR_DUPLICATES}
