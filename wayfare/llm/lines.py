@@ -36,7 +36,9 @@ def boilerplate(docs: DataFrame, *, min_sites: int = 10, band: float = 0.3, lg_k
     wide = kept(spread.filter(F.col("sites") >= min_sites * (1 - band)))
     sure = wide.filter(F.col("sites") > min_sites * (1 + band)).select("h", "first")
     close = wide.filter(F.col("sites") <= min_sites * (1 + band)).select("h", "first")
-    exact = at.filter(F.col("source").isNotNull()).join(close.select("h"), "h", "left_semi").select("h", "source").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    # a line's sites first: one that is everywhere is some rows only when lines are brought together
+    pairs = at.filter(F.col("source").isNotNull()).select("h", "source").distinct()
+    exact = pairs.join(close.select("h"), "h", "left_semi").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     return sure.unionByName(close.join(exact.filter(F.col("n") >= min_sites).select("h"), "h", "left_semi"))
 
 
