@@ -199,7 +199,7 @@ def _field_if_exists(c: Any, s: Any, args: tuple) -> Any:
     return s.focus if found is None else found
 
 
-It, Null = Q(Call("here")), Q(Lit(None))
+It, Null, Empty = Q(Call("here")), Q(Lit(None)), Q(Call("array"))
 Count, Exists, AnyOf, AllOf, MaxOf, MinOf, SumOf, MeanOf = [_of(n) for n in ("count", "exists", "any", "all", "max", "min", "sum", "mean")]
 Sort, Connect, AndConnect, Unique, Frame, Merge, Switch, Record, Mix, Pack = [_of(n) for n in ("sort", "connect", "and_connect", "unique", "frame", "merge", "switch", "record", "mix", "pack")]
 Asc, Desc, NullFirst, NullLast = [_of(n) for n in ("asc", "desc", "nullfirst", "nulllast")]
