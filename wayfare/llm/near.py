@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .text import kept, lowered, shingles, space_words, text_key
+from .text import lowered, shingles, space_words, stored, text_key
 
 SYMBOLS = 64
 #: Rows of signatures, and shingles, that a block holds at most; a task holds two blocks.
@@ -168,6 +168,7 @@ def _in_blocks(big: DataFrame, labels: DataFrame) -> DataFrame:
     loose rows only, and nowhere if there are no loose rows."""
     known = big.join(labels, "node", "left")
     tops = known.filter("label IS NOT NULL").groupBy("key", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"))
+    tops = stored(tops)  # a stored side lets the engine split a hot key of the other
     rows = known.join(tops, "key", "left").withColumn("_linked", F.coalesce(F.col("label") == F.col("top.label"), F.lit(False)))
     few, many = F.coalesce(F.col("top.c"), F.lit(0)), F.col("m")
     rows = rows.withColumn("_u", F.ceil((many - few) / BLOCK_ROWS).cast("int")).withColumn("_v", F.ceil(few / BLOCK_ROWS).cast("int"))
@@ -186,9 +187,9 @@ def _pivot_links(big: DataFrame, shingled: Callable[[DataFrame], DataFrame], per
     each block of its nodes, so that no task holds all of them."""
     home = big.groupBy("node").agg(F.max(F.struct("m", "key")).alias("home")).select("node", F.col("home.key").alias("key"))
     leads = home.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("lead"), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
-    leads = leads.select(F.col("key").alias("_k"), F.col("lead.node").alias("label"), "blocks")
+    leads = stored(leads.select(F.col("key").alias("_k"), F.col("lead.node").alias("label"), "blocks"))
     mine = home.join(leads, F.col("key") == F.col("_k")).withColumn("block", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("blocks")).cast("int"))
-    sets = kept(shingled(mine.select("node", "label", "block", "blocks")))  # one row a node
+    sets = stored(shingled(mine.select("node", "label", "block", "blocks")))  # one row a node
     pivots = sets.filter("node = label").select(F.col("label").alias("_p"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_b"), F.col("n").alias("pn"), F.col("s").alias("ps"))
     both = sets.join(pivots.dropDuplicates(["_p", "_b"]), (F.col("label") == F.col("_p")) & (F.col("block") == F.col("_b")))
     common = F.size(F.array_intersect("s", "ps"))
@@ -243,12 +244,12 @@ def _candidates(nodes: DataFrame, scheme: Scheme, shingled: Callable[[DataFrame]
                 yield pa.RecordBatch.from_arrays([pa.array(key[hit]), t.column("node").combine_chunks().filter(pa.array(hit))], ["key", "node"])
 
     keyed = nodes.select("node", "sig").mapInArrow(enumerated, "node bigint, keys array<bigint>").select("node", F.explode("keys").alias("key"))
-    crowded = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")  # partial counts first, so no key is hot
-    met = kept(keyed.join(crowded, "key").select("key", "node", "m"))
+    crowded = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"))  # partial counts first, so no key is hot
+    met = stored(keyed.join(crowded, "key").select("key", "node", "m"))
     small, big, labels = met.filter(F.col("m") <= BLOCK_ROWS), met.filter(F.col("m") > BLOCK_ROWS), None
     dealt = small.select("key", F.lit(0).cast("bigint").alias("pair"), F.lit(0).alias("block"), "node")
     if not big.isEmpty():
-        labels = kept(_pivot_links(big, shingled, scheme.percent))
+        labels = stored(_pivot_links(big, shingled, scheme.percent))
         dealt = dealt.unionByName(_in_blocks(big, labels))
     rows = dealt.join(nodes.select("node", "sig"), "node").select("key", "pair", "block", "node", "sig")
     return _gathered(rows, compared, "key bigint, node bigint").distinct(), labels
@@ -296,7 +297,7 @@ def _links(cands: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
     weighed = cands.join(sets.select("node", "n").distinct(), "node")
-    totals = weighed.groupBy("key").agg(F.sum("n").alias("total"))
+    totals = stored(weighed.groupBy("key").agg(F.sum("n").alias("total")))
     rows = _dealt(weighed.join(totals, "key"), F.col("total"), BLOCK_SHINGLES).drop("n", "total").join(sets.select("node", "sig", "s"), "node").select("key", "pair", "block", "node", "sig", "s")
     return _gathered(rows, confirmed, "u bigint, v bigint")
 
@@ -311,11 +312,11 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, width: int = 5, k: in
     only doc_id and text are read, so other columns cannot clash.  Texts are taken as a whole; a set of shingles has
     to fit into a task's memory."""
     scheme = Scheme(k, percent, miss)
-    sigs = kept(signature_table(docs, scheme, width))
+    sigs = stored(signature_table(docs, scheme, width))
     real = F.col("n").isNotNull() & (F.col("n") > 0) & F.col("doc_id").isNotNull()
-    # equal sets, by 128 bits and their size, are one node; its number is fixed by the checkpoint
+    # equal sets, by 128 bits and their size, are one node; its number is fixed by the written table
     nodes = sigs.filter(real).groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
-    nodes = kept(nodes.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "n", "copies", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key"), "sig"))
+    nodes = stored(nodes.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "n", "copies", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key"), "sig"))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("rep_id"), text_key(F.col("text")).alias("rep_key"), "text")
 
     def shingled(rows: DataFrame) -> DataFrame:
@@ -323,8 +324,8 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, width: int = 5, k: in
         return texts.join(near, ["rep_id", "rep_key"]).select(*rows.columns, "n", "sig", shingles(space_words(lowered(F.col("text"))), width).alias("s"))
 
     cands, labels = _candidates(nodes, scheme, shingled)
-    cands = kept(cands)
-    sets = kept(shingled(cands.select("node").distinct()))
+    cands = stored(cands)
+    sets = stored(shingled(cands.select("node").distinct()))
     links = _links(cands, sets, scheme)
     if labels is not None:
         links = links.unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v")))
