@@ -102,6 +102,20 @@ class Order:
         return self.col.asc_nulls_last() if self.nulls_last != flip else self.col.asc_nulls_first()
 
 
+@dataclass
+class Run:
+    """A running aggregate over parts of a frame that follow one another: make: of one part; again: of several parts'
+    results; within: over the row's own part; join: of both; before: whether the parts before the row count."""
+
+    name: str
+    part: str
+    make: Column
+    again: Callable[[Column], Column]
+    within: Column
+    join: Callable[[Column, Column], Column]
+    before: bool
+
+
 class Frame:
     """rid: columns that tell its rows apart; link: pairs of (column above, own column); order: of the rows under one
     row above; attached: its rows hold the columns of the frame above; source: what it takes its rows from when they are
@@ -112,6 +126,7 @@ class Frame:
         self.attached, self.joined = attached, dict(joined or {})
         self.pending: list[tuple[Frame, list]] = []
         self.whole: list[list[tuple[str, Column]]] = []
+        self.runs: list[Run] = []
         self.memo: dict[Any, Any] = {}
         self.explicit = False
         self.origin: Frame | None = None
@@ -130,11 +145,30 @@ class Frame:
         while self.whole:
             level = self.whole.pop(0)
             self._df = self._df.crossJoin(F.broadcast(self._df.agg(*[c.alias(n) for n, c in level])))  # one row
+        if self.runs:
+            runs, self.runs = self.runs, []
+            self._df = self._running(self._df, runs)
         return self._df
 
+    @staticmethod
+    def _running(df: DataFrame, runs: list[Run]) -> DataFrame:
+        """Adds running aggregates: those within a row's part by a window, and those of the parts before or after it, of
+        which there are few, sent to the rows."""
+        part = runs[0].part
+        totals = df.groupBy(part).agg(*[r.make.alias(r.name) for r in runs])
+        every = Window.orderBy(part)
+        sides = {True: every.rowsBetween(Window.unboundedPreceding, -1), False: every.rowsBetween(1, Window.unboundedFollowing)}
+        beside = {r.name: fresh("w") for r in runs}
+        key = fresh("part")
+        rest = totals.select(F.col(part).alias(key), *[r.again(F.col(r.name)).over(sides[r.before]).alias(beside[r.name]) for r in runs])
+        df = df.join(F.broadcast(rest), F.col(part) == F.col(key)).drop(key)
+        return df.select("*", *[r.join(r.within, F.col(beside[r.name])).alias(r.name) for r in runs]).drop(*beside.values())
+
     def total(self, col: Column) -> Column:
         """An aggregate over all rows, beside each of them; all that don't need one another are made at once."""
         name, text = fresh("w"), str(col)
+        if any(r.name in text for r in self.runs):
+            _ = self.df  # what it needs is made first
         level = max((i + 1 for i, made in enumerate(self.whole) if any(n in text for n, _ in made)), default=0)
         if level == len(self.whole):
             self.whole.append([])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..compiler import Compiler, Scope, rule
 from ..flow import Flow, Val, both
-from ..operators.windows import over
+from ..operators.windows import over, running
 from ..syntax import Call, QueryError
 
 
@@ -101,7 +101,8 @@ def _over(c: Compiler, q: Flow, a: Aggregate, x: Column, v: Val, name: str) -> V
     k = both(q.cond)
     x = F.when(k, x) if k is not None else x
     if q.span.name != "around":
-        return _result(a, v, over(q, a.make(x)), name)
+        run = running(q, a.make(x), name)
+        return _result(a, v, over(q, a.make(x)) if run is None else run, name)
     # all but the row itself
     there = F.when(x.isNotNull(), 1).otherwise(0)
     if name in ("count", "exists", "sum"):

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType, TimestampType
 
 from ..compiler import Compiler, Scope, rule
-from ..flow import Flow, Frame, Order, Span, fresh
+from ..flow import Flow, Frame, Order, Run, Span, fresh
 from ..syntax import QueryError
 
+#: Frames of up to so many bytes, as read, are ordered as a whole by one task; larger ones in so many parts at most.
+WINDOW_BYTES, MOST_PARTS = 64 << 20, 256
 SPANS = {"before", "and_before", "after", "and_after", "around", "and_around"}
 
 
@@ -73,6 +78,77 @@ def over(flow: Flow, col: Column) -> Column:
     return flow.frame.total(col)
 
 
+def parts(flow: Flow, orders: list[Order]) -> str | None:
+    """A column that cuts the frame's rows into parts which follow one another in the order, of about equal size.
+
+    The cuts are quantiles of the first thing ordered by, asked for by a query of its own; they are constants of the plan,
+    so the parts are the same whenever they are computed.  None for frames of up to WINDOW_BYTES, and for what is ordered
+    by texts first."""
+    f, key = flow.frame, ("parts", id(getattr(flow.span, "border", None)))
+    if key in f.memo:
+        return f.memo[key][0]
+    name, first = None, orders[0] if orders else None
+    if first is not None and _read_bytes(f) > WINDOW_BYTES:
+        kind = f.df.select(first.col.alias("o")).schema["o"].dataType
+        number = first.col.cast("double") if isinstance(kind, NumericType) else F.unix_date(first.col).cast("double") if isinstance(kind, DateType) else F.unix_micros(first.col).cast("double") if isinstance(kind, TimestampType) else None
+        if number is not None:
+            n = max(2, min(MOST_PARTS, int(f.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+            cuts = f.df.agg(F.percentile_approx(number, [i / n for i in range(1, n)], 10_000).alias("c")).first().c or []
+            cuts = sorted(set(cuts))
+            at = _side(number, cuts, 0)
+            at = F.lit(len(cuts)) - at if first.desc else at
+            name = fresh("part")
+            f.df = f.df.withColumn(name, F.when(number.isNull(), F.lit(len(cuts) + 1 if first.nulls_last else -1)).otherwise(at))
+    f.memo[key] = (name, flow.span)
+    return name
+
+
+def _read_bytes(f: Frame) -> int:
+    """What a frame reads, by the optimizer's estimate of its tables; tables of an unknown size count as large."""
+    leaves = f.df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+
+
+def _side(number: Column, cuts: list[float], low: int) -> Column:
+    """How many cuts lie below a number: a search by halves, written out."""
+    if not cuts:
+        return F.lit(low)
+    mid = len(cuts) // 2
+    return F.when(number <= cuts[mid], _side(number, cuts[:mid], low)).otherwise(_side(number, cuts[mid + 1 :], low + mid + 1))
+
+
+#: How aggregates of parts make those of the whole, and two of them one.
+_AGAIN: dict[str, tuple[Callable[[Column], Column], Callable[[Column, Column], Column]]] = {
+    "count": (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))),
+    "sum": (F.sum, lambda a, b: F.coalesce(a + b, a, b)),
+    "max": (F.max, F.greatest),
+    "min": (F.min, F.least),
+    "any": (F.bool_or, lambda a, b: F.coalesce(a | b, a, b)),
+    "all": (F.bool_and, lambda a, b: F.coalesce(a & b, a, b)),
+}
+_AGAIN["exists"] = _AGAIN["count"]
+
+
+def running(flow: Flow, make: Column, name: str) -> Column | None:
+    """An aggregate over the rows before or after each one, of a large frame as a whole, without bringing all rows to one
+    task; none where a window does."""
+    own, orders = _borders(flow.frame, getattr(flow.span, "border", None))
+    if own or flow.span.keys or flow.span.name.endswith("around") or name not in _AGAIN:
+        return None
+    part = parts(flow, orders)
+    if part is None:
+        return None
+    if any(r.name in str(make) for r in flow.frame.runs):
+        _ = flow.frame.df  # what it needs is made first
+    again, join = _AGAIN[name]
+    back = flow.span.name.endswith("before")
+    ends = {"before": (Window.unboundedPreceding, -1), "and_before": (Window.unboundedPreceding, 0), "after": (1, Window.unboundedFollowing), "and_after": (0, Window.unboundedFollowing)}
+    w = Window.partitionBy(part).orderBy(*[o.sort() for o in orders]).rowsBetween(*ends[flow.span.name])
+    run = Run(fresh("w"), part, make, again, make.over(w), join, back)
+    flow.frame.runs.append(run)
+    return F.col(run.name)
+
+
 def place(flow: Flow) -> Column:
     """The number of each row among those of its span, in their order."""
     own, orders = _borders(flow.frame, getattr(flow.span, "border", None))
