@@ -99,10 +99,10 @@ def _with_totals(f: Frame, members: Frame, groups: DataFrame, above: dict[str, s
     nothing = members.df.filter(F.lit(False)).agg(F.count(F.lit(1)).alias("_n"), *[m(k).alias(n) for n, m, k in aggs]).drop("_n")
     if f.own():
         owners = f.up.df.select(*[F.col(a).alias(b) for a, b in f.link]).distinct()
-        there = groups.select(*[F.col(b).alias(f"{b}_t") for b in f.own()]).distinct()
+        there = members.df.select(*[F.col(b).alias(f"{b}_t") for b in f.own()]).distinct()
         lone = owners.join(there, both(tuple(F.col(b).eqNullSafe(F.col(f"{b}_t")) for b in f.own())), "left_anti").crossJoin(F.broadcast(nothing))
     else:
-        there = groups.limit(1).select(F.lit(1).alias("_t"))
+        there = members.df.limit(1).select(F.lit(1).alias("_t"))  # not of the groups, which would be made twice
         lone = nothing.join(there, F.lit(True), "left_anti")
     return groups.unionByName(lone.withColumn(gid, F.lit(full)), allowMissingColumns=True)
 

@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import functools
+
+from pyspark.sql import DataFrame, SparkSession
 
 from ..catalog import Catalog
 
 
+@functools.lru_cache(maxsize=64)
+def table(spark: SparkSession, path: str) -> DataFrame:
+    """A stored table, whose files and schema are looked up once in a session; its rows are read by each query."""
+    return spark.read.parquet(path)
+
+
 def store(spark: SparkSession, sf_dir: str) -> Catalog:
     """Classes of the tables under a folder; each is read when a query first names it, and only what is used of it."""
     db = Catalog(spark)
-    read = lambda name: lambda: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    read = lambda name: lambda: table(spark, f"{sf_dir}/{name}.parquet")
     plain = lambda prefix, names: {n: f"{prefix}_{n}" for n in names.split()}
     db.attach("region", read("region"), "r_regionkey", attributes=plain("r", "name"))
     db.attach("nation", read("nation"), "n_nationkey", attributes=plain("n", "name"))
