@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from wayfare.llm import decontaminate, lines, near, pieces, quality
 from wayfare.llm.queries import TOKENIZERS
-from wayfare.llm.text import dropped, scratch, table, text_key
+from wayfare.llm.text import dropped, scratch, stored, table, text_key
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that share an id are one document, of which one row stays; rows without an id all stay."""
     found = near.near_duplicates(docs, percent=80).filter("kept AND doc_id IS NOT NULL")
-    chosen = found.groupBy(F.col("component_id").alias("_d")).agg(F.min("text_key").alias("_k"))
+    chosen = stored(found.groupBy(F.col("component_id").alias("_d")).agg(F.min("text_key").alias("_k")))  # a query of its own: the driver holds less at once
     keyed = docs.withColumn("_key", text_key(F.col("text")))
     stay = keyed.join(chosen, (F.col("doc_id") == F.col("_d")) & (F.col("_key") == F.col("_k")), "left_semi").dropDuplicates(["doc_id", "_key"])
     return stay.unionByName(keyed.filter("doc_id IS NULL")).select(*docs.columns)

@@ -51,3 +51,13 @@ def test_null_ids_repeated_rows_and_empty(spark):
     got = sorted((tuple(r) for r in near.near_duplicates(df).select("doc_id", "n_shingles", "component_id", "kept").collect()), key=str)
     assert got == sorted([(None, 2, None, True)] * 2 + [(2, 2, 2, True)] * 3 + [(5, 2, 2, False)], key=str)
     assert near.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_result_computes_no_graph(spark, sf):
+    """The driver holds all plans and shuffles of a query at once: the components are made by queries of their own."""
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for df, most in ((near.near_duplicates(docs), 6), (cp.near_stage(spark, docs, sf), 4)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "ExistingRDD" not in plan and plan.count("Exchange ") <= most

@@ -335,6 +335,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, width: int = 5, k: in
     # only nodes with links or copies are joined back to the rows
     joined = nodes.join(linked, "node", "left").filter("component_id IS NOT NULL OR copies > 1")
     joined = joined.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("n").alias("_n"), F.coalesce("component_id", "rep_id").alias("component_id"), "copies")
+    joined = stored(joined)  # read three times, and the driver does not hold the plans and shuffles of the graph with those of the result
     # a set with over one row in HOT of all is hot: there are HOT such sets at most, which are broadcast
     some = nodes.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n")).first().n // HOT
     same = (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & (F.col("n") == F.col("_n"))
