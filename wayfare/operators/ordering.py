@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..compiler import Compiler, Scope, rule
@@ -110,27 +110,30 @@ def first(c: Compiler, s: Scope, args: tuple, name: str) -> Val:
 
 
 def _neighbour(c: Compiler, q: Flow, name: str, keys: tuple, s: Scope) -> Val:
-    from .windows import kept, window
+    from .windows import kept, neighbour, window
 
     if keys or q.val.kind == "record":
         raise QueryError(f"{name} of neighbours takes plain values and no key")
-    w = window(q)
-    nearest_first = q.span.name in ("before", "and_before") and c.dialect == "v1"
-    pickers = (F.last, F.first) if nearest_first else (F.first, F.last)
-    take = pickers[0] if name == "first" else pickers[1]
     cond = None
     for x in q.cond:
         cond = x if cond is None else cond & x
+    skip = cond is not None
+
+    def one(col: Column, skip: bool) -> Column:
+        col = col if cond is None else F.when(cond, col)
+        if q.span.name.endswith("around"):
+            return kept(q, (F.first if name == "first" else F.last)(col, ignorenulls=skip).over(window(q)))
+        first_is_nearest = q.span.name.endswith("after") or c.dialect == "v1"
+        return neighbour(q, col, nearest=(name == "first") == first_is_nearest, skip=skip)
+
     if q.val.cls:
         names = []
         for i in q.val.ids:
-            n = fresh("k")
-            col = F.col(i) if cond is None else F.when(cond, F.col(i))
-            q.frame.df = q.frame.df.withColumn(n, take(col, ignorenulls=cond is not None).over(w))
+            n, col = fresh("k"), one(F.col(i), skip)
+            q.frame.df = q.frame.df.withColumn(n, col)
             names.append(n)
         return replace(q.val, ids=tuple(names), optional=True)
-    col = q.val.col if cond is None else F.when(cond, q.val.col)
-    return replace(q.val, col=kept(q, take(col, ignorenulls=cond is not None or q.val.optional).over(w)), optional=True)
+    return replace(q.val, col=one(q.val.col, skip or q.val.optional), optional=True)
 
 
 def exploded(s: Scope, array: object, kind: str, tag: str | None) -> Flow:

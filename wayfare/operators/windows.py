@@ -62,9 +62,16 @@ def window(flow: Flow) -> WindowSpec:
     w = Window.partitionBy(*own, *span.keys)
     if span.name.endswith("around"):
         return w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    w = w.orderBy(*[o.sort() for o in orders])
-    ends = {"before": (Window.unboundedPreceding, -1), "and_before": (Window.unboundedPreceding, 0), "after": (1, Window.unboundedFollowing), "and_after": (0, Window.unboundedFollowing)}
-    return w.rowsBetween(*ends[span.name])
+    return _side_of(w, orders, span.name)
+
+
+def _side_of(w: WindowSpec, orders: list[Order], name: str) -> WindowSpec:
+    """The rows on one side of each row, the nearest last.
+
+    What comes after a row is what comes before it in the opposite order: a frame that ends with its row grows by one row
+    at a time, one that starts with it is gone through anew for each row."""
+    w = w.orderBy(*[o.sort(flip=name.endswith("after")) for o in orders])
+    return w.rowsBetween(Window.unboundedPreceding, 0 if name.startswith("and_") else -1)
 
 
 def over(flow: Flow, col: Column) -> Column:
@@ -142,13 +149,36 @@ def running(flow: Flow, make: Column, name: str) -> Column | None:
         _ = flow.frame.df  # what it needs is made first
     again, join = _AGAIN[name]
     back = flow.span.name.endswith("before")
-    ends = {"before": (Window.unboundedPreceding, -1), "and_before": (Window.unboundedPreceding, 0), "after": (1, Window.unboundedFollowing), "and_after": (0, Window.unboundedFollowing)}
-    w = Window.partitionBy(part).orderBy(*[o.sort() for o in orders]).rowsBetween(*ends[flow.span.name])
+    w = _side_of(Window.partitionBy(part), orders, flow.span.name)
     run = Run(fresh("w"), part, make, again, make.over(w), join, back)
     flow.frame.runs.append(run)
     return F.col(run.name)
 
 
+def neighbour(flow: Flow, col: Column, *, nearest: bool, skip: bool) -> Column:
+    """The nearest or farthest value on one side of each row, the missing ones skipped or not; of a large frame as a whole
+    in parts."""
+    from .navigate import ranked
+
+    own, orders = _borders(flow.frame, getattr(flow.span, "border", None))
+    take = F.last if nearest else F.first
+    part = None if own or flow.span.keys else parts(flow, orders)
+    back = flow.span.name.endswith("before")
+    rank = ranked(flow.frame.df, orders, flip=back == nearest) if part else None
+    if rank is None:
+        return kept(flow, take(col, ignorenulls=skip).over(window(flow)))
+    pick_one, key = rank
+    item = F.when(col.isNotNull(), F.struct(col.alias("v"))) if skip else F.struct(col.alias("v"))
+    again = F.last if back == nearest else F.first  # of the parts on that side, in their order
+    w = _side_of(Window.partitionBy(part), orders, flow.span.name)
+    run = Run(
+        fresh("w"), part, pick_one(item, F.when(item.isNotNull(), key)), lambda x: again(x, ignorenulls=True), take(item, ignorenulls=True).over(w),
+        lambda a, b: F.coalesce(a, b) if nearest else F.coalesce(b, a), back,
+    )
+    flow.frame.runs.append(run)
+    return kept(flow, F.col(run.name)["v"])
+
+
 def place(flow: Flow) -> Column:
     """The number of each row among those of its span, in their order."""
     own, orders = _borders(flow.frame, getattr(flow.span, "border", None))
