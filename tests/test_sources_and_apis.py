@@ -1,5 +1,6 @@
 import datetime
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -57,6 +58,17 @@ def test_json_documents(spark, tmp_path):
             wrong(harbour)
 
 
+def test_bound_values_are_worked_out_once(spark):
+    """Not again for each item of a list, which takes time with the square of its length."""
+    long = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(30_000)), lambda i: F.struct(i.alias("m"))).alias("items"))
+    items, m = d.Fields("items", "m")
+    top, start = d.Max(items >> m), time.monotonic()
+    assert d.Given(d.First(items >> d.Filter(m == d.Ref("top")) >> m), top=top)(long).first().value == 30_000
+    assert d.Count((items >> m >= top) >> d.Filter(d.Here()))(long).first().value == 1
+    assert d.Count((top <= (items >> m)) >> d.Filter(d.Here()))(long).first().value == 1
+    assert time.monotonic() - start < 20
+
+
 def test_xml(spark, tmp_path):
     (tmp_path / "a.xml").write_text('<lib kind="x"><shelf n="1"><book lang="en">One <b>bold</b> tail</book><book>Two</book></shelf><shelf/></lib>')
     (tmp_path / "b.xml").write_text("<other/>")

@@ -154,11 +154,21 @@ def Select(**fields: Any) -> Combinator:
     return Combinator(apply, f"Select({', '.join(f'{n}={c!r}' for n, c in fs.items())})", frozenset().union(*[c.refs for c in fs.values()]))
 
 
+def _let(values: dict[str, Node], make: Callable[[dict[str, Node]], Node | None]) -> Node | None:
+    """What is made of some values, each of which is worked out once.  As plain columns they would be worked out wherever
+    they stand, for each item of a list too."""
+    trial = make(values)
+    if not values or trial is None:
+        return trial
+    made = F.transform(F.array(F.struct(*[v.col.alias(n) for n, v in values.items()])), lambda item: make({n: Node(item[n], v.type) for n, v in values.items()}).col)
+    return Node(F.get(made, 0), trial.type)
+
+
 def Given(query: Any, **names: Any) -> Combinator:
     """Binds names to values of the input; all of them see the context outside."""
     q, fs = _lift(query), {n: _lift(c) for n, c in sorted(names.items())}
     inner = (q.refs - frozenset(fs)) | frozenset().union(*[c.refs for c in fs.values()])
-    return Combinator(lambda x, ctx: q.apply(x, {**ctx, **{n: c.apply(x, ctx) for n, c in fs.items()}}), f"Given({q!r}, {', '.join(f'{n}={c!r}' for n, c in fs.items())})", inner)
+    return Combinator(lambda x, ctx: _let({n: c.apply(x, ctx) for n, c in fs.items()}, lambda bound: q.apply(x, {**ctx, **bound})), f"Given({q!r}, {', '.join(f'{n}={c!r}' for n, c in fs.items())})", inner)
 
 
 def _each(items: Node, make: Callable[[Node], Node | None]) -> Node | None:
@@ -273,9 +283,9 @@ def _binary(op: str, left: Any, right: Any) -> Combinator:
         if T.NullType() in (a.type, b.type) and (a.items is not None or b.items is not None):
             return Node(F.lit(None), T.NullType())
         if a.items is not None and b.items is None:  # each item with the other operand
-            out = _given(_each(a, lambda i: _apply(op, i, b)), b)
+            out = _let({"b": b}, lambda one: _given(_each(a, lambda i: _apply(op, i, one["b"])), one["b"]))
         elif b.items is not None and a.items is None:
-            out = _given(_each(b, lambda i: _apply(op, a, i)), a)
+            out = _let({"a": a}, lambda one: _given(_each(b, lambda i: _apply(op, one["a"], i)), one["a"]))
         else:
             out = _apply(op, a, b)
         if out is None:

@@ -14,10 +14,10 @@ from .store import store
 
 
 def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions as nested documents: nations inside, customers inside these."""
+    """Regions as nested documents: nations inside by name, customers inside these by number."""
     read = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
-    customers = read("customer").groupBy("c_nationkey").agg(F.collect_list(F.struct(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("acctbal"))).alias("customers"))
-    nations = read("nation").join(customers, F.col("n_nationkey") == F.col("c_nationkey"), "left").groupBy("n_regionkey").agg(F.collect_list(F.struct(F.col("n_name").alias("name"), "customers")).alias("nations"))
+    customers = read("customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("acctbal")))).alias("customers"))
+    nations = read("nation").join(customers, F.col("n_nationkey") == F.col("c_nationkey"), "left").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct(F.col("n_name").alias("name"), "customers"))).alias("nations"))
     return read("region").join(nations, F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("r_name").alias("name"), "nations")
 
 
