@@ -119,7 +119,8 @@ class Run:
 class Frame:
     """rid: columns that tell its rows apart; link: pairs of (column above, own column); order: of the rows under one
     row above; attached: its rows hold the columns of the frame above; source: what it takes its rows from when they are
-    asked for; alone: rows and link before the frame above was attached, and the rows just after."""
+    asked for; alone: rows and link before the frame above was attached, and the rows just after; theta: the condition by
+    which its rows are linked to those above."""
 
     def __init__(self, df: DataFrame | Callable[[], DataFrame], up: Frame | None, link: list[tuple[str, str]] | None = None, rid: list[str] | None = None, order: list[Order] | None = None, *, attached: bool = False, joined: dict | None = None):
         self._df, self.up, self.link, self.rid, self.order = df, up, list(link or []), list(rid or []), list(order or [])
@@ -132,6 +133,7 @@ class Frame:
         self.origin: Frame | None = None
         self.source: Frame | None = None
         self.alone: tuple[DataFrame, list[tuple[str, str]], DataFrame] | None = None
+        self.theta: Any = None
 
     @property
     def df(self) -> DataFrame:

@@ -93,6 +93,8 @@ def _aggregated(c: Compiler, s: Scope, a: Aggregate, tree: object, name: str) ->
         return _over(c, q, a, x, v, name)
     if q.frame.up is not s.frame:
         raise QueryError(f"{name} can't reach {tree}")
+    if q.frame.theta is not None and not q.cond and (col := q.frame.theta.aggregate(a.make(F.col("x")), x, name)) is not None:
+        return _result(a, v, col, name)
     make = lambda k: a.make(F.when(k, x) if k is not None else x)
     return _result(a, v, q.frame.aggregate(make, q.cond), name)
 

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DataType, DateType, DecimalType, FractionalType, IntegralType, TimestampType
 
 from ..compiler import Bound, Compiler, Scope, bare, rule
-from ..flow import Flow, Order, Val, fresh, settled
+from ..flow import Flow, Frame, Order, Val, fresh, settled
 from ..syntax import Named, QueryError
+from .theta import Theta
 
 
 @rule("here")
@@ -60,10 +61,13 @@ def link(c: Compiler, s: Scope, args: tuple) -> Flow:
     target = settled(c.flow(args[1], Scope(s.frame, c.top.focus, s.env, s.border), "link"))
     copy = c.fresh_copy(target, s)
     copy.frame.link = []
+    theta = Theta(c, s, Frame(copy.frame.df, s.frame, [], copy.frame.rid, joined=copy.frame.joined), copy.val, args[0])
     copy.frame.attach()
     copy.frame.link = [(r, r) for r in s.frame.rid]
     both = Val("record", fields={"left": s.focus, "right": copy.val})
-    return where(c, s, Flow(copy.frame, both), args[0], keep=copy.val.named(target.val.tag))
+    out = where(c, s, Flow(copy.frame, both), args[0], keep=copy.val.named(target.val.tag))
+    out.frame.theta = theta
+    return out
 
 
 def where(c: Compiler, s: Scope, flow: Flow, tree: object, keep: Val) -> Flow:
