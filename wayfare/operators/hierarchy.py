@@ -34,7 +34,9 @@ def _edges(c: Compiler, focus: Val, tree: object) -> DataFrame:
 
 
 def _walk(spark: SparkSession, tables: dict[str, DataFrame], starts: str, step: str) -> DataFrame:
-    """A recursive query over some tables, without limits on rows and steps."""
+    """A recursive query over some tables, without limits on rows and steps.
+
+    Its joins are to be merges: tables that are broadcast go through the driver, and again in each step."""
     views = {n: fresh(n) for n in tables}
     for n, df in tables.items():
         df.createOrReplaceTempView(views[n])
@@ -51,8 +53,8 @@ def _closure(c: Compiler, s: Scope, tree: object) -> DataFrame:
     again = "IF(array_contains(path, dst) OR dst = start, raise_error(concat('a cycle at ', CAST(dst AS STRING))), dst)"
     return _walk(
         c.catalog.spark, {"edges": _edges(c, s.focus, tree), "own": own},
-        "SELECT src, IF(src = dst, raise_error(concat('a cycle at ', CAST(dst AS STRING))), dst), 1L, array(dst) FROM {own} JOIN {edges} ON id = src",
-        f"SELECT start, {again}, level + 1, concat(path, array(dst)) FROM walk JOIN {{edges}} ON node = src",
+        "SELECT /*+ MERGE(e) */ src, IF(src = dst, raise_error(concat('a cycle at ', CAST(dst AS STRING))), dst), 1L, array(dst) FROM {own} JOIN {edges} e ON id = src",
+        f"SELECT /*+ MERGE(e) */ start, {again}, level + 1, concat(path, array(dst)) FROM walk JOIN {{edges}} e ON node = src",
     )
 
 
