@@ -95,10 +95,10 @@ def sort_connect(c: Compiler, s: Scope, args: tuple) -> Flow:
     numbered, n = q.frame.numbered()
     rows = numbered.select(F.col(q.val.ids[0]).alias("id"), F.col(v.ids[0]).alias("parent"), F.col(n).alias("n"))
     known = rows.select(F.col("id").alias("known"))
-    edges = rows.join(known, F.col("parent") == F.col("known"), "left").select("id", F.col("known").alias("parent"), "n")
-    walk = _walk(c.catalog.spark, {"edges": edges}, "SELECT id, id, 1L, array(n) FROM {edges} WHERE parent IS NULL", "SELECT walk.start, e.id, level + 1, concat(path, array(e.n)) FROM walk JOIN {edges} e ON e.parent = walk.node")
+    edges = rows.join(known.hint("merge"), F.col("parent") == F.col("known"), "left").select("id", F.col("known").alias("parent"), "n")
+    walk = _walk(c.catalog.spark, {"edges": edges}, "SELECT id, id, 1L, array(n) FROM {edges} WHERE parent IS NULL", "SELECT /*+ MERGE(e) */ walk.start, e.id, level + 1, concat(path, array(e.n)) FROM walk JOIN {edges} e ON e.parent = walk.node")
     node, path = fresh("k"), fresh("path")
-    df = q.frame.df.join(walk.select(F.col("node").alias(node), F.col("path").alias(path)), F.col(q.val.ids[0]) == F.col(node)).drop(node)
+    df = q.frame.df.join(walk.select(F.col("node").alias(node), F.col("path").alias(path)).hint("merge"), F.col(q.val.ids[0]) == F.col(node)).drop(node)
     frame = q.frame.derive(df, order=[Order(F.col(path))])
     frame.explicit = True
     return Flow(frame, replace(q.val))
