@@ -61,20 +61,35 @@ def _array(c: Compiler, s: Scope, v: Flow) -> Column:
 
 def _span(c: Compiler, s: Scope, v: Flow) -> Column:
     """The neighbours' values in their order; before: the nearest first."""
-    from .windows import kept, place, window
+    from .windows import kept, listed, place, window
 
     value, n = kept(v, column(c, s, v.val)), place(v)
     k = both(v.cond)
     item = F.struct(n.alias("n"), value.alias("v"))
+    if v.span.name.endswith("around"):
+        return _around(v, n, k, listed(v, F.when(k, item) if k is not None else item, n))
     made = F.array_sort(kept(v, F.collect_list(F.when(k, item) if k is not None else item).over(window(v))))
-    if v.span.name == "around":
-        made = F.filter(made, lambda x: x["n"] != n)
     values = F.transform(made, lambda x: x["v"])
-    if v.val.optional and not v.val.cls and v.val.kind != "record":
+    if _drops(v):
         values = F.filter(values, lambda x: x.isNotNull())
     return F.reverse(values) if v.span.name in ("before", "and_before") and c.dialect == "v1" else values
 
 
+def _drops(v: Flow) -> bool:
+    """Whether missing values are left out of a list."""
+    return v.val.optional and not v.val.cls and v.val.kind != "record"
+
+
+def _around(v: Flow, n: Column, k: Column | None, places: Column) -> Column:
+    """A group's list without the row itself."""
+    values = places["v"]
+    if v.span.name == "around":
+        at = F.array_position(places["n"], n).cast("int")  # 0 where the row is not in the list
+        rest = F.concat(F.slice(values, F.lit(1), at - 1), F.slice(values, at + 1, F.size(values)))
+        values = F.when(at > 0, rest).otherwise(values) if k is not None else F.concat(F.slice(values, F.lit(1), n - 1), F.slice(values, n + 1, F.size(values)))
+    return F.filter(values, lambda x: x.isNotNull()) if _drops(v) else values
+
+
 def table(c: Compiler, v: Val | Flow) -> DataFrame:
     """The result of a query as a DataFrame: a row for each value, a column for each field."""
     if isinstance(v, Flow):

@@ -14,6 +14,8 @@ from ..syntax import QueryError
 
 #: Frames of up to so many bytes, as read, are ordered as a whole by one task; larger ones in so many parts at most.
 WINDOW_BYTES, MOST_PARTS = 64 << 20, 256
+#: Rows of a group that get its list together.
+CHUNK_ROWS = 1000
 SPANS = {"before", "and_before", "after", "and_after", "around", "and_around"}
 
 
@@ -179,6 +181,24 @@ def neighbour(flow: Flow, col: Column, *, nearest: bool, skip: bool) -> Column:
     return kept(flow, F.col(run.name)["v"])
 
 
+def listed(flow: Flow, item: Column, n: Column) -> Column:
+    """Lists ``n`` and ``v`` of a group's items (n, v) by n, beside each of its rows, whose number in the group is n.
+
+    A list is made once for its group and sent to the group's rows in lots of CHUNK_ROWS, which are dealt over all tasks:
+    what is made of it for each row, work with the square of the group's size, is not left to one task."""
+    own, _ = _borders(flow.frame, getattr(flow.span, "border", None))
+    group, lot, items = fresh("g"), fresh("lot"), fresh("w")
+    df = flow.frame.df
+    by = [*[F.col(x) for x in own], *flow.span.keys]
+    df = df.withColumn(group, F.struct(*by) if by else F.lit(0)).withColumn(lot, F.floor((n - 1) / CHUNK_ROWS).cast("int"))
+    lists = df.groupBy(F.col(group).alias("g")).agg(F.array_sort(F.collect_list(item)).alias("x"), F.max(lot).alias("most"))
+    lists = lists.select("g", F.struct(F.col("x.n").alias("n"), F.col("x.v").alias("v")).alias(items), F.explode(F.sequence(F.lit(0), "most")).alias("l"))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df, lists = df.repartition(tasks, group, lot), lists.repartition(tasks, "g", "l").hint("merge")
+    flow.frame.df = df.join(lists, (F.col(group) == F.col("g")) & (F.col(lot) == F.col("l"))).drop("g", "l", group, lot)
+    return F.col(items)
+
+
 def place(flow: Flow) -> Column:
     """The number of each row among those of its span, in their order."""
     own, orders = _borders(flow.frame, getattr(flow.span, "border", None))
